@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sessionloom.plans import merges
+from sessionloom.plans import features, merges, profiles
 
-_MODULES = (merges,)
+_MODULES = (merges, features, profiles)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     name: query for module in _MODULES for name, query in module.QUERIES.items()
