@@ -6,9 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sessionloom.plans import features, merges, profiles
+from sessionloom.plans import (
+    baselines,
+    distributions,
+    features,
+    merges,
+    profiles,
+    quality,
+    round_trips,
+)
 
-_MODULES = (merges, features, profiles)
+_MODULES = (merges, features, profiles, distributions, quality, round_trips, baselines)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     name: query for module in _MODULES for name, query in module.QUERIES.items()
