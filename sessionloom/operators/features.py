@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from sessionloom.functions.columns import row_sum, week_number, zero_sum
 from sessionloom.operators.joins import group_lookup, salted_join
@@ -47,52 +46,77 @@ def with_rebased_day(df: DataFrame, group: Sequence[str], day: str, name: str =
     return tagged.withColumn(name, F.col(day) - F.col("first_day")).drop("first_day")
 
 
-def _day_counts(df: DataFrame, keys: Sequence[str], day: str, *more: str) -> DataFrame:
-    return df.dropna(subset=[*keys, day]).groupBy(*keys, *more, day).agg(F.count(F.lit(1)).alias("n"))
+def _day_steps(df: DataFrame, keys: Sequence[str], day: str, *more: str) -> DataFrame:
+    """Rows per (entity, day) with the step from the entity's previous active day.
 
+    The log collapses before the window, so the window holds one row per active day however many
+    events an entity has.
+    """
+    days = df.dropna(subset=[*keys, *more, day]).groupBy(*keys, *more, day).agg(F.count(F.lit(1)).alias("n"))
+    earlier = F.lag(day).over(Window.partitionBy(*keys).orderBy(day))
+    return days.withColumn("step", (F.col(day) - earlier).cast("bigint"))
 
-def gap_metrics(df: DataFrame, keys: Sequence[str], day: str) -> DataFrame:
-    """Spread of the gaps between consecutive events of an entity, in day order.
 
-    Rows collapse to (entity, day, n) first: events on the same day are n - 1 gaps of 0, and
-    consecutive days give one gap each. The window then holds one row per active day, however many
-    events an entity has. Sums stay integers, so the variance loses nothing to cancellation.
+def _gap_columns() -> list[Column]:
+    """Gap statistics from the row count, the sum of steps and the sum of squared steps.
+
+    Events on one day are gaps of 0, consecutive active days one gap each. The sums are integers,
+    so the variance loses nothing to cancellation.
     """
-    by_day = Window.partitionBy(*keys).orderBy(day)
-    steps = _day_counts(df, keys, day).withColumn(
-        "step", (F.col(day) - F.lag(day).over(by_day)).cast("bigint")
-    )
-    sums = steps.groupBy(*keys).agg(
-        (F.sum("n") - 1).alias("gaps"),
-        zero_sum("step").alias("span"),
-        zero_sum(F.col("step") * F.col("step")).alias("squares"),
-    )
-    exact = lambda c: F.col(c).cast("decimal(19,0)")
-    spread = (exact("gaps") * exact("squares") - exact("span") * exact("span")).cast("double")
-    gaps = F.col("gaps").cast("double")
-    variance = F.when(F.col("gaps") > 1, spread / F.nullif(gaps * (gaps - 1), F.lit(0.0)))
-    mean = F.when(F.col("gaps") > 0, F.col("span") / F.nullif(gaps, F.lit(0.0)))
-    return sums.select(
-        *keys,
-        F.col("gaps"),
+    exact = lambda c: c.cast("decimal(19,0)")
+    gaps = F.col("n") - 1
+    number = gaps.cast("double")
+    spread = exact(gaps) * exact(F.col("squares")) - exact(F.col("span")) * exact(F.col("span"))
+    variance = F.when(gaps > 1, spread.cast("double") / F.nullif(number * (number - 1), F.lit(0.0)))
+    mean = F.when(gaps > 0, F.col("span") / F.nullif(number, F.lit(0.0)))
+    return [
+        gaps.alias("gaps"),
         mean.alias("gap_mean"),
         F.sqrt(variance).alias("gap_std"),
         F.try_divide(F.sqrt(variance), F.nullif(mean, F.lit(0.0))).alias("gap_cv"),
-    )
+    ]
+
+
+def _step_sums() -> list[Column]:
+    step = F.col("step")
+    return [F.sum("n").alias("n"), zero_sum(step).alias("span"), zero_sum(step * step).alias("squares")]
+
+
+def gap_metrics(df: DataFrame, keys: Sequence[str], day: str) -> DataFrame:
+    """Number, mean, sample sd and coefficient of variation of the gaps between an entity's events
+    in day order. Fewer than two gaps give a null sd; a mean gap of 0 gives a null variation."""
+    return _day_steps(df, keys, day).groupBy(*keys).agg(*_step_sums()).select(*keys, *_gap_columns())
 
 
 def weekly_consistency(df: DataFrame, keys: Sequence[str], day: str, week: str) -> DataFrame:
     """Mean and sample sd over an entity's active weeks of its distinct active days."""
-    per_week = (
-        df.dropna(subset=[*keys, week, day])
-        .select(*keys, week, day)
-        .distinct()
-        .groupBy(*keys, week)
-        .agg(F.count(F.lit(1)).alias("days"))
-    )
-    return per_week.groupBy(*keys).agg(
+    active = df.dropna(subset=[*keys, week, day]).select(*keys, week, day).distinct()
+    per_week = active.groupBy(*keys, week).agg(F.count(F.lit(1)).alias("days"))
+    return per_week.groupBy(*keys).agg(*_week_columns())
+
+
+def _week_columns() -> list[Column]:
+    return [
         F.avg("days").alias("active_days_per_week_mean"),
         F.stddev_samp("days").alias("active_days_per_week_sd"),
+    ]
+
+
+def regularity_metrics(df: DataFrame, keys: Sequence[str], day: str, week: str) -> DataFrame:
+    """Gap metrics and weekly consistency together from one collapse of the log.
+
+    After the shuffle on the entity for the window, the week and entity totals need no other.
+    """
+    weeks = (
+        _day_steps(df, keys, day, week)
+        .groupBy(*keys, week)
+        .agg(*_step_sums(), F.count(F.lit(1)).alias("days"))
+    )
+    totals = weeks.groupBy(*keys).agg(
+        *[F.sum(c).alias(c) for c in ("n", "span", "squares")], *_week_columns()
+    )
+    return totals.select(
+        *keys, *_gap_columns(), "active_days_per_week_mean", "active_days_per_week_sd"
     )
 
 

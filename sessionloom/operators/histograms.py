@@ -129,14 +129,19 @@ def density_curve(df: DataFrame, value: str, points: int = 100) -> DataFrame:
             (F.stddev_samp(x) * F.pow(F.count(x).cast("double"), F.lit(-0.2))).alias("h"),
         )
     ).scalar()
-    at = lambda i: shape["lo"] + i * (shape["hi"] - shape["lo"]) / float(points - 1)
     counted = df.select(x.alias("x")).dropna().groupBy("x").agg(F.count(F.lit(1)).alias("c"))
-    spread = counted.withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
-    z = (at(F.col("point")) - F.col("x")) / shape["h"]
-    sums = spread.groupBy("point").agg(F.sum(F.col("c") * F.exp(z * z * -0.5)).alias("k"))
-    norm = shape["n"] * shape["h"] * F.sqrt(F.lit(2.0) * F.pi())
-    return sums.select(
-        "point", F.round(at(F.col("point")), 6).alias("x"), F.round(F.col("k") / norm, 9).alias("density")
+    at = F.col("s.lo") + F.col("point") * (F.col("s.hi") - F.col("s.lo")) / float(points - 1)
+    z = (at - F.col("x")) / F.col("s.h")
+    grid = F.explode(F.sequence(F.lit(0), F.lit(points - 1)))
+    sums = (
+        counted.withColumn("s", shape)
+        .withColumn("point", grid)
+        .groupBy("point")
+        .agg(F.sum(F.col("c") * F.exp(z * z * -0.5)).alias("k"))
+    )
+    norm = F.col("s.n") * F.col("s.h") * F.sqrt(F.lit(2.0) * F.pi())
+    return sums.withColumn("s", shape).select(
+        "point", F.round(at, 6).alias("x"), F.round(F.col("k") / norm, 9).alias("density")
     )
 
 

@@ -57,7 +57,7 @@ def salted_join(
     """
     keys = list(keys)
     per_key = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows"))
-    total = per_key.agg(F.sum("__rows")).scalar()
+    total = left.agg(F.count(F.lit(1))).scalar()
     hot = (
         per_key.filter(F.col("__rows") * hot_parts > total)
         .select(*keys, F.lit(True).alias("__hot"))

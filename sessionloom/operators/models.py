@@ -5,9 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
-from pyspark.ml import Estimator, Pipeline
+from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,19 +21,16 @@ def holdout(df: DataFrame, key: str, test_share: float, seed: int) -> DataFrame:
     return df.withColumn("is_test", hash_fraction(key, seed) < F.lit(test_share))
 
 
-def standardise(df: DataFrame, cols: Sequence[str], fit_on: DataFrame | None = None) -> DataFrame:
+def standardise(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Centre and scale by the population sd. A constant column is only centred."""
-    source = df if fit_on is None else fit_on
-    stats = source.agg(
+    stats = df.agg(
         F.struct(
-            *[F.avg(c).alias(f"m_{c}") for c in cols], *[F.stddev_pop(c).alias(f"s_{c}") for c in cols]
+            *[F.avg(c).alias(f"m_{c}") for c in cols],
+            *[F.coalesce(F.nullif(F.stddev_pop(c), F.lit(0.0)), F.lit(1.0)).alias(f"s_{c}") for c in cols],
         )
     ).scalar()
-    scaled = {
-        c: (F.col(c) - stats[f"m_{c}"]) / F.coalesce(F.nullif(stats[f"s_{c}"], F.lit(0.0)), F.lit(1.0))
-        for c in cols
-    }
-    return df.withColumns(scaled)
+    scaled = {c: (F.col(c) - F.col(f"__stats.m_{c}")) / F.col(f"__stats.s_{c}") for c in cols}
+    return df.withColumn("__stats", stats).withColumns(scaled).drop("__stats")
 
 
 def most_frequent(train: DataFrame, label: str):
@@ -53,88 +50,84 @@ def majority_accuracy(df: DataFrame, label: str) -> DataFrame:
     return accuracy(test, label).select("n_test", F.round("accuracy", 6).alias("accuracy"))
 
 
-def logistic(features: Sequence[str], label: str, n_train: int, max_iter: int = 1000) -> Pipeline:
-    """Multinomial logistic regression on standardised columns, L2 penalty 1/n."""
-    return Pipeline(
-        stages=[
-            VectorAssembler(inputCols=list(features), outputCol="features"),
-            LogisticRegression(
-                featuresCol="features",
-                labelCol=label,
-                family="multinomial",
-                maxIter=max_iter,
-                regParam=1.0 / n_train,
-                elasticNetParam=0.0,
-                standardization=False,
-            ),
-        ]
+def assemble(df: DataFrame, features: Sequence[str], keep: Sequence[str]) -> DataFrame:
+    """Numeric columns as one vector column ``features``."""
+    assembled = VectorAssembler(inputCols=list(features), outputCol="features").transform(df)
+    return assembled.select(*keep, "features")
+
+
+def _scaler() -> StandardScaler:
+    # Uses the n-1 sd: all features differ from population scaling by one common factor near 1.
+    return StandardScaler(inputCol="features", outputCol="scaled", withMean=True, withStd=True)
+
+
+def logistic(label: str, n_train: int, max_iter: int = 1000) -> Pipeline:
+    """Multinomial logistic regression on standardised features, L2 penalty 1/n."""
+    model = LogisticRegression(
+        featuresCol="scaled",
+        labelCol=label,
+        family="multinomial",
+        maxIter=max_iter,
+        tol=1e-4,
+        regParam=1.0 / max(n_train, 1),
+        elasticNetParam=0.0,
+        standardization=False,
     )
+    return Pipeline(stages=[_scaler(), model])
 
 
-def forest(
-    features: Sequence[str], label: str, trees: int = 100, max_depth: int = 10, seed: int = 7
-) -> Pipeline:
+def forest(label: str, trees: int = 100, max_depth: int = 10, seed: int = 7) -> Pipeline:
     """Random forest with sqrt(p) candidate features per split."""
-    return Pipeline(
-        stages=[
-            VectorAssembler(inputCols=list(features), outputCol="features"),
-            RandomForestClassifier(
-                featuresCol="features",
-                labelCol=label,
-                numTrees=trees,
-                maxDepth=max_depth,
-                featureSubsetStrategy="sqrt",
-                seed=seed,
-            ),
-        ]
+    model = RandomForestClassifier(
+        featuresCol="scaled",
+        labelCol=label,
+        numTrees=trees,
+        maxDepth=max_depth,
+        featureSubsetStrategy="sqrt",
+        maxMemoryInMB=512,
+        seed=seed,
     )
+    return Pipeline(stages=[_scaler(), model])
 
 
-Maker = Callable[[Sequence[str], str, int], Estimator | None]
-
-MAKERS: Mapping[str, Maker] = {
-    "majority": lambda features, label, n: None,
+MAKERS: Mapping[str, Callable[[str, int], Pipeline]] = {
     "logistic": logistic,
-    "forest": lambda features, label, n: forest(features, label),
+    "forest": lambda label, n_train: forest(label),
 }
 
 
-def fit_score(df: DataFrame, features: Sequence[str], label: str, model: str) -> DataFrame:
-    """Fit on the rows outside ``is_test``, score on the rest: ``(model, n_test, accuracy)``."""
-    train, test = df.filter(~F.col("is_test")), df.filter("is_test")
+def _score(train: DataFrame, test: DataFrame, label: str, model: str) -> DataFrame:
     if model == "majority":
         scored = test.withColumn("prediction", most_frequent(train, label))
     else:
-        # The scaler is fitted on the training rows only, then the result is reused by each pass
-        # of the solver; storage spills to disk instead of failing when it exceeds memory.
-        scaled = standardise(df, features, fit_on=train).select(*features, label, "is_test").persist()
-        n_train = scaled.filter(~F.col("is_test")).count()
-        fitted = MAKERS[model](features, label, n_train).fit(scaled.filter(~F.col("is_test")))
-        scored = fitted.transform(scaled.filter("is_test"))
-        result = materialise(accuracy(scored, label), "score")
-        scaled.unpersist()
-        return result.select(F.lit(model).alias("model"), "n_test", "accuracy")
+        # The scaler is fitted on the training rows only, inside the pipeline.
+        scored = MAKERS[model](label, train.count()).fit(train).transform(test)
     return accuracy(scored, label).select(F.lit(model).alias("model"), "n_test", "accuracy")
 
 
 def holdout_scores(
-    df: DataFrame, key: str, features: Sequence[str], label: str, models: Sequence[str], test_share: float = 0.2
+    df: DataFrame, key: str, label: str, models: Sequence[str], test_share: float = 0.2
 ) -> DataFrame:
-    """Hold-out accuracy per model; each model gets its own draw."""
-    scores = [
-        fit_score(holdout(df, key, test_share, seed), features, label, model)
-        for seed, model in enumerate(models)
-    ]
+    """Hold-out accuracy per model ``(model, n_test, accuracy)``; each model gets its own draw.
+
+    ``df`` has the key, the label and a ``features`` vector. It is written once: the solvers pass
+    over it many times, and a lost executor re-reads its part instead of replaying the plan.
+    """
+    data = materialise(df.select(key, label, "features"), "features")
+    scores = []
+    for seed, model in enumerate(models):
+        split = holdout(data, key, test_share, seed)
+        scores.append(_score(split.filter(~F.col("is_test")), split.filter("is_test"), label, model))
     return reduce(DataFrame.unionByName, scores)
 
 
 def cross_validated_scores(
-    df: DataFrame, key: str, features: Sequence[str], label: str, models: Sequence[str], folds: int = 5
+    df: DataFrame, key: str, label: str, models: Sequence[str], folds: int = 5
 ) -> DataFrame:
     """Accuracy per (model, fold) over unshuffled stratified folds."""
-    folded = materialise(stratified_folds(df.select(key, *features, label), label, key, folds), "folds")
+    data = materialise(stratified_folds(df.select(key, label, "features"), label, key, folds), "folds")
     scores = [
-        fit_score(folded.withColumn("is_test", F.col("fold") == fold), features, label, model).withColumn(
+        _score(data.filter(F.col("fold") != fold), data.filter(F.col("fold") == fold), label, model).withColumn(
             "fold", F.lit(fold)
         )
         for model in models

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import add, or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,65 +26,78 @@ def exact_quantiles(
     """Linear-interpolation quantiles: one row per (by..., feature, prob).
 
     Pass 1 takes a mergeable sketch and brackets each wanted rank with a margin above the sketch's
-    error. Pass 2 counts the rows below the bracket and counts the values inside it; only the
-    inside values (a share of about 8/accuracy) are then ordered. Groups of up to 10 * accuracy
-    rows skip the bracket. A rank outside its bracket raises instead of giving a wrong value.
+    error. Pass 2 groups the rows: one group per value inside a bracket, one group for each stretch
+    between brackets. Partial counts keep the shuffle to the bracketed values (a share of about
+    8/accuracy per prob), and running counts over those groups give exact ranks. Groups of up to
+    10 * accuracy rows skip the bracket. A rank outside its bracket raises, it never guesses.
     """
-    by, probs = list(by), [float(p) for p in probs]
-    group = [*by, "feature"]
-    data = unpivot_numeric(df, cols, by).dropna(subset=by) if by else unpivot_numeric(df, cols)
+    by, probs = list(by), sorted({float(p) for p in probs})
+    group, k = [*by, "feature"], len(probs)
+    df = df.dropna(subset=by) if by else df
+
     margin = 4.0 / accuracy
     marks = [max(p - margin, 0.0) for p in probs] + [min(p + margin, 1.0) for p in probs]
-    sketch = data.groupBy(*group).agg(
-        F.count("value").alias("n"),
-        F.percentile_approx("value", marks, accuracy).alias("marks"),
+    sketches = df.groupBy(*by).agg(
+        *[
+            F.struct(
+                F.lit(c).alias("feature"),
+                F.count(c).alias("n"),
+                F.percentile_approx(F.col(c).cast("double"), marks, accuracy).alias("marks"),
+            ).alias(f"__{i}")
+            for i, c in enumerate(cols)
+        ]
     )
+    flat = sketches.select(*by, F.inline(F.array(*[f"__{i}" for i in range(len(cols))])))
     narrow = F.col("n") > 10 * accuracy
-    targets = [
-        F.struct(
-            F.lit(p).alias("prob"),
-            F.when(narrow, F.col("marks")[i]).otherwise(F.lit(float("-inf"))).alias("lo"),
-            F.when(narrow, F.col("marks")[i + len(probs)]).otherwise(F.lit(float("inf"))).alias("hi"),
-        )
-        for i, p in enumerate(probs)
-    ]
-    brackets = sketch.select(*group, "n", F.inline(F.array(*targets)))
-    if by:
-        brackets = materialise(brackets, "brackets")
-    else:
-        brackets = F.broadcast(brackets)  # len(cols) * len(probs) rows
-    counted = (
-        data.join(brackets, group)
-        .filter(F.col("value") <= F.col("hi"))
-        .groupBy(*group, "prob", "n", F.when(F.col("value") >= F.col("lo"), F.col("value")).alias("value"))
-        .agg(F.count(F.lit(1)).alias("c"))
+    inf = F.lit(float("inf"))
+    brackets = flat.select(
+        *group,
+        "n",
+        F.when(narrow, F.slice("marks", 1, k)).otherwise(F.array_repeat(-inf, k)).alias("lo"),
+        F.when(narrow, F.slice("marks", k + 1, k)).otherwise(F.array_repeat(inf, k)).alias("hi"),
     )
-    upward = Window.partitionBy(*group, "prob").orderBy(F.col("value").asc_nulls_first())
-    ranked = counted.withColumn("upto", F.sum("c").over(upward))
-    place = (F.col("n") - 1) * F.col("prob")
-    rank = F.floor(place)
-    ends = ranked.groupBy(*group, "prob", "n").agg(
-        _value_at(rank).alias("a"),
-        _value_at(F.least(rank + 1, F.col("n") - 1)).alias("b"),
-        F.coalesce(F.max(F.when(F.col("value").isNull(), F.col("c"))), F.lit(0)).alias("below"),
+    # Ungrouped: one row per listed column. Grouped: written, so the join sees its true size.
+    brackets = materialise(brackets, "brackets") if by else F.broadcast(brackets)
+
+    x = F.col("value")
+    inside = reduce(or_, [(x >= F.col("lo")[i]) & (x <= F.col("hi")[i]) for i in range(k)])
+    stretch = reduce(add, [(x > F.col("hi")[i]).cast("int") for i in range(k)])
+    counted = (
+        unpivot_numeric(df, cols, by)
+        .join(brackets, group)
+        .groupBy(*group, "n", stretch.alias("stretch"), F.when(inside, x).alias("exact"))
+        .agg(F.count(F.lit(1)).alias("c"), F.max("value").alias("upper"))
     )
-    t, step = place - rank, F.col("b") - F.col("a")
-    value = F.when(t >= 0.5, F.col("b") - step * (1 - t)).otherwise(F.col("a") + step * t)
-    bracketed = F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("below") <= rank)
-    guarded = F.when(bracketed, value).otherwise(
-        F.raise_error(F.lit("quantile fell outside its bracket; raise accuracy"))
+    running = Window.partitionBy(*group).orderBy("upper")
+    ranked = counted.withColumn("upto", F.sum("c").over(running))
+    low = [F.floor((F.col("n") - 1) * p) for p in probs]
+    picks = ranked.groupBy(*group, "n").agg(
+        *[_at_rank(r).alias(f"a{i}") for i, r in enumerate(low)],
+        *[_at_rank(F.least(r + 1, F.col("n") - 1)).alias(f"b{i}") for i, r in enumerate(low)],
     )
-    return ends.select(*group, "prob", guarded.cast("double").alias("quantile"))
+    rows = []
+    for i, p in enumerate(probs):
+        t = (F.col("n") - 1) * p - low[i]
+        a, b = F.col(f"a{i}.exact"), F.col(f"b{i}.exact")
+        value = F.when(t >= 0.5, b - (b - a) * (1 - t)).otherwise(a + (b - a) * t)
+        missed = F.raise_error(F.lit("quantile fell outside its bracket; raise accuracy")).cast("double")
+        checked = F.when(a.isNull() | b.isNull(), missed).otherwise(value)
+        rows.append(F.struct(F.lit(p).alias("prob"), checked.alias("quantile")))
+    return picks.select(*group, F.inline(F.array(*rows)))
+
 
+def _at_rank(rank: Column) -> Column:
+    """First group, in value order, whose running count passes the 0-based rank."""
+    return F.min(F.when(F.col("upto") > rank, F.struct("upper", "exact")))
 
-def _value_at(rank: Column) -> Column:
-    """Smallest ordered value whose running count passes the 0-based rank."""
-    return F.min(F.when(F.col("upto") > rank, F.col("value")))
 
+def quantile_scalar(df: DataFrame, col: str, prob: float, digits: int = 6) -> Column:
+    """One global quantile as an uncorrelated scalar subquery.
 
-def quantile_scalar(df: DataFrame, col: str, prob: float) -> Column:
-    """One global quantile as an uncorrelated scalar subquery."""
-    return exact_quantiles(df, [col], [prob]).select("quantile").scalar()
+    Rounding sits inside the subquery, so a filter on the bare column can reach the file scan.
+    """
+    marks = exact_quantiles(df, [col], [prob])
+    return marks.select(F.round("quantile", digits)).scalar()
 
 
 def approximate_quantiles(
@@ -99,7 +114,7 @@ def approximate_quantiles(
 
 def trim(df: DataFrame, col: str, prob: float, side: str = "upper", digits: int = 6) -> DataFrame:
     """Rows at or below (``upper``) or at or above (``lower``) the global quantile."""
-    limit = F.round(quantile_scalar(df, col, prob), digits)
+    limit = quantile_scalar(df, col, prob, digits)
     return df.filter(F.col(col) <= limit) if side == "upper" else df.filter(F.col(col) >= limit)
 
 
@@ -114,10 +129,6 @@ def trim_within(df: DataFrame, col: str, prob: float, by: Sequence[str], digits:
 
 def band(df: DataFrame, col: str, low: float, high: float, digits: int = 6) -> DataFrame:
     """Rows strictly between two global quantiles."""
-    both = exact_quantiles(df, [col], [low, high])
-    pair = both.agg(
-        F.struct(
-            F.round(F.min("quantile"), digits).alias("lo"), F.round(F.max("quantile"), digits).alias("hi")
-        )
-    ).scalar()
-    return df.filter((F.col(col) > pair["lo"]) & (F.col(col) < pair["hi"]))
+    both = exact_quantiles(df, [col], [low, high]).select(F.round("quantile", digits).alias("q"))
+    lo, hi = both.agg(F.min("q")).scalar(), both.agg(F.max("q")).scalar()
+    return df.filter((F.col(col) > lo) & (F.col(col) < hi))

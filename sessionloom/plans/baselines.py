@@ -2,26 +2,22 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from sessionloom.operators import models, ranking
 from sessionloom.plans import stand_ins as v
 
 MEASURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
-DIMS = 64
 SEED = 0
 
 
 def _vectors(spark, sf):
-    """Embedding vectors as 64 feature columns with their class label."""
     return v.table(spark, sf, "embeddings").select(
-        "vec_id", "label", *[F.col("embedding")[i].cast("double").alias(f"f{i}") for i in range(DIMS)]
+        "vec_id", "label", array_to_vector(F.col("embedding").cast("array<double>")).alias("features")
     )
 
 
-FEATURES = [f"f{i}" for i in range(DIMS)]
-
-
 def standardize(spark, sf):
     lines = v.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", *MEASURES)
     return models.standardise(lines, MEASURES).withColumns({c: F.round(c, 6) for c in MEASURES})
@@ -40,19 +36,17 @@ def stratified_folds(spark, sf):
 
 
 def majority_cv(spark, sf):
-    scores = models.cross_validated_scores(
-        v.table(spark, sf, "labels").withColumnRenamed("toxic", "feature"),
-        "doc_id", ["feature"], "quality", ["majority"],
-    )
+    labels = models.assemble(v.table(spark, sf, "labels"), ["toxic"], ["doc_id", "quality"])
+    scores = models.cross_validated_scores(labels, "doc_id", "quality", ["majority"])
     return scores.withColumn("accuracy", F.round("accuracy", 6))
 
 
 def logistic_holdout(spark, sf):
-    return models.holdout_scores(_vectors(spark, sf), "vec_id", FEATURES, "label", ["majority", "logistic"])
+    return models.holdout_scores(_vectors(spark, sf), "vec_id", "label", ["majority", "logistic"])
 
 
 def forest_holdout(spark, sf):
-    return models.holdout_scores(_vectors(spark, sf), "vec_id", FEATURES, "label", ["majority", "forest"])
+    return models.holdout_scores(_vectors(spark, sf), "vec_id", "label", ["majority", "forest"])
 
 
 def snapshot_holdout(spark, sf):
@@ -60,13 +54,12 @@ def snapshot_holdout(spark, sf):
     snap = v.sessions(spark, sf).withColumns(
         {"session_key": F.concat_ws("|", *v.SESSION), "label": F.col("final_result").cast("int")}
     )
-    return models.holdout_scores(
-        snap, "session_key", [*v.ACTIVITY, "balance", "region"], "label", ["majority", "logistic", "forest"]
-    )
+    vectors = models.assemble(snap, [*v.ACTIVITY, "balance", "region"], ["session_key", "label"])
+    return models.holdout_scores(vectors, "session_key", "label", ["majority", "logistic", "forest"])
 
 
 def model_cv(spark, sf):
-    return models.cross_validated_scores(_vectors(spark, sf), "vec_id", FEATURES, "label", ["majority", "logistic"])
+    return models.cross_validated_scores(_vectors(spark, sf), "vec_id", "label", ["majority", "logistic", "forest"])
 
 
 QUERIES = {

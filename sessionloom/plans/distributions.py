@@ -48,7 +48,7 @@ def hist_tail_common(spark, sf):
 
 def hist_trimmed_facets(spark, sf):
     return histograms.trimmed_histograms(
-        v.sessions(spark, sf), "view", 0.95, ["code_module", "code_presentation"]
+        v.stored_sessions(spark, sf), "view", 0.95, ["code_module", "code_presentation"]
     )
 
 
@@ -61,7 +61,7 @@ def day_range_by_group(spark, sf):
 
 
 def density_curve(spark, sf):
-    totals = features.with_total(v.sessions(spark, sf), v.ACTIVITY)
+    totals = features.with_total(v.stored_sessions(spark, sf), v.ACTIVITY)
     return histograms.density_curve(totals, "total_interactions")
 
 

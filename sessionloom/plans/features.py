@@ -17,7 +17,7 @@ def session_snapshot(spark, sf):
 
 
 def total_interactions(spark, sf):
-    totals = features.with_total(v.sessions(spark, sf), v.ACTIVITY)
+    totals = features.with_total(v.stored_sessions(spark, sf), v.ACTIVITY)
     return profile.describe(totals, ["total_interactions"])
 
 
@@ -52,8 +52,8 @@ def _weekly(log):
 
 
 def weekly_consistency(spark, sf):
-    log = week_index(spark, sf).join(
-        v.event_days(spark, sf).select("event_id", "id_student"), "event_id"
+    log = features.with_week(
+        v.event_days(spark, sf).select("event_id", *KEYS, "date"), ["code_presentation"], "date"
     )
     return features.with_entity_metric(log, _weekly(log), KEYS)
 
@@ -62,9 +62,7 @@ def regularity_correlation(spark, sf):
     log = features.with_week(
         v.event_days(spark, sf).select(*KEYS, "date"), ["code_presentation"], "date"
     )
-    metrics = features.gap_metrics(log, KEYS, "date").join(
-        features.weekly_consistency(log, KEYS, "date", "week"), KEYS
-    )
+    metrics = features.regularity_metrics(log, KEYS, "date", "week")
     cols = ["region", "gap_cv", "gap_std", "active_days_per_week_sd", "final_result"]
     labelled = metrics.join(v.students(spark, sf).select("id_student", "region", "final_result"), "id_student")
     return profile.correlation_matrix(labelled, cols)

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sessionloom.functions.columns import days_since
-from sessionloom.operators.joins import left_merge
 from sessionloom.operators.features import session_snapshot
+from sessionloom.operators.joins import left_merge
 from sessionloom.operators.shape import pivot_sum
+from sessionloom.sources.scratch import materialise
 
 ORIGIN = "2024-01-01"
 ACTIVITY = ["click", "error", "purchase", "signup", "view"]
@@ -69,6 +70,11 @@ def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return session_snapshot(daily(spark, sf_dir, attributes=True), SESSION, ACTIVITY, ATTRIBUTES)
 
 
+def stored_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The snapshot written once, for operators that pass over it more than once."""
+    return materialise(sessions(spark, sf_dir), "sessions")
+
+
 def submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as assessment submissions, on the day of the month they were placed."""
     return table(spark, sf_dir, "orders").select(
