@@ -26,6 +26,11 @@ def all_zero(cols: Sequence[str]) -> Column:
     return reduce(and_, [F.coalesce(F.col(c) == 0, F.lit(False)) for c in cols])
 
 
+def all_present(cols: Sequence[str]) -> Column:
+    """True where no column is null. Plain IS NOT NULL tests, which the file scan can use."""
+    return reduce(and_, [F.col(c).isNotNull() for c in cols])
+
+
 def any_null(cols: Sequence[str]) -> Column:
     return reduce(lambda a, b: a | b, [F.col(c).isNull() for c in cols])
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sessionloom.functions.columns import row_sum, week_number, zero_sum
+from sessionloom.functions.columns import all_present, row_sum, week_number, zero_sum
 from sessionloom.operators.joins import group_lookup, salted_join
 
 
@@ -16,7 +16,7 @@ def session_snapshot(
 ) -> DataFrame:
     """One row per entity session: counters summed, constant attributes averaged, in one pass."""
     return (
-        flat.dropna(subset=list(keys))
+        flat.filter(all_present(keys))
         .groupBy(*keys)
         .agg(
             *[zero_sum(c).alias(c) for c in counters],
@@ -30,7 +30,7 @@ def with_total(df: DataFrame, counters: Sequence[str], name: str = "total_intera
 
 
 def first_days(df: DataFrame, group: Sequence[str], day: str) -> DataFrame:
-    return df.dropna(subset=list(group)).groupBy(*group).agg(F.min(day).alias("first_day"))
+    return df.filter(all_present(group)).groupBy(*group).agg(F.min(day).alias("first_day"))
 
 
 def with_week(df: DataFrame, group: Sequence[str], day: str, name: str = "week") -> DataFrame:
@@ -52,7 +52,7 @@ def _day_steps(df: DataFrame, keys: Sequence[str], day: str, *more: str) -> Data
     The log collapses before the window, so the window holds one row per active day however many
     events an entity has.
     """
-    days = df.dropna(subset=[*keys, *more, day]).groupBy(*keys, *more, day).agg(F.count(F.lit(1)).alias("n"))
+    days = df.filter(all_present([*keys, *more, day])).groupBy(*keys, *more, day).agg(F.count(F.lit(1)).alias("n"))
     earlier = F.lag(day).over(Window.partitionBy(*keys).orderBy(day))
     return days.withColumn("step", (F.col(day) - earlier).cast("bigint"))
 
@@ -90,7 +90,7 @@ def gap_metrics(df: DataFrame, keys: Sequence[str], day: str) -> DataFrame:
 
 def weekly_consistency(df: DataFrame, keys: Sequence[str], day: str, week: str) -> DataFrame:
     """Mean and sample sd over an entity's active weeks of its distinct active days."""
-    active = df.dropna(subset=[*keys, week, day]).select(*keys, week, day).distinct()
+    active = df.filter(all_present([*keys, week, day])).select(*keys, week, day).distinct()
     per_week = active.groupBy(*keys, week).agg(F.count(F.lit(1)).alias("days"))
     return per_week.groupBy(*keys).agg(*_week_columns())
 

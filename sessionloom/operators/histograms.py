@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sessionloom.functions.columns import bin_of, edge_bin_of
+from sessionloom.functions.columns import all_present, bin_of, edge_bin_of
 from sessionloom.operators.quantiles import trim
 from sessionloom.operators.shape import unpivot_numeric
 from sessionloom.sources.scratch import materialise
@@ -93,7 +93,7 @@ def histograms(
     """
     by = list(by)
     data = unpivot_numeric(df, values, by)
-    data = data.dropna(subset=by) if by else data
+    data = data.filter(all_present(by)) if by else data
     data = data.filter(F.col("value") > 0) if nonzero_only else data
     on = [*by, "feature"]
     ranges = _ranges(data, on)
@@ -110,7 +110,7 @@ def trimmed_histograms(
 
 def tail_histogram(df: DataFrame, value: str, prob: float, split: str, bins: int = 50) -> DataFrame:
     """Rows at or above the global quantile, common bins for all classes, split by class."""
-    data = unpivot_numeric(trim(df, value, prob, "lower"), [value], [split]).dropna(subset=[split])
+    data = unpivot_numeric(trim(df, value, prob, "lower"), [value], [split]).filter(all_present([split]))
     return _bin_counts(data, F.broadcast(_ranges(data, ["feature"])), ["feature"], [split], bins)
 
 
@@ -169,6 +169,6 @@ def pair_bins(
 
 def day_ranges(df: DataFrame, group: Sequence[str], day: str) -> DataFrame:
     """Rows, first and last day per group."""
-    return df.dropna(subset=list(group)).groupBy(*group).agg(
+    return df.filter(all_present(group)).groupBy(*group).agg(
         F.count(F.lit(1)).alias("n"), F.min(day).alias("first_day"), F.max(day).alias("last_day")
     )

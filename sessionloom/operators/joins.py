@@ -7,12 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sessionloom.functions.columns import all_present, any_null
 from sessionloom.operators.shape import fill_zero, shared_columns
 from sessionloom.sources.scratch import materialise
 
-# A key is hot when it holds more than 1/HOT_PARTS of the rows, so at most HOT_PARTS keys are hot.
-HOT_PARTS = 200
-SALTS = 64
+# Lower bound on the number of parts a skewed side is cut into.
+MIN_PARTS = 200
 
 
 def outer_merge(left: DataFrame, right: DataFrame, keys: Sequence[str] | None = None) -> DataFrame:
@@ -45,32 +45,38 @@ def salted_join(
     right: DataFrame,
     keys: Sequence[str],
     how: str = "left",
-    hot_parts: int = HOT_PARTS,
-    salts: int = SALTS,
+    parts: int | None = None,
     salt_by: Column | None = None,
 ) -> DataFrame:
-    """Left, left_semi or inner join in which the rows of a hot left key spread over ``salts`` tasks.
-
-    Only hot keys are salted: their right rows are repeated once per salt, all other keys keep
-    salt 0. The hot list has at most ``hot_parts`` rows by construction, hence the broadcast.
-    ``salt_by`` should tell rows apart (default: all left columns, which a re-run task repeats).
+    """Left, left_semi or inner join that spreads the rows of a hot left key over many tasks.
+
+    With ``parts`` the number of shuffle partitions, a key holding more than 1/parts of the left
+    rows is hot and gets one salt per 1/parts share, so each (key, salt) is about one ordinary
+    partition. At most ``parts`` keys can be hot and they get at most 2 * parts salts together:
+    that bounds both the broadcast hot list and the repeated right rows. Rows with a null key
+    match nothing and are spread as well. ``salt_by`` tells left rows apart (default: all left
+    columns); it depends on the row only, so a re-run task repeats it.
     """
     keys = list(keys)
-    per_key = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows"))
+    if parts is None:
+        parts = max(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), MIN_PARTS)
     total = left.agg(F.count(F.lit(1))).scalar()
-    hot = (
-        per_key.filter(F.col("__rows") * hot_parts > total)
-        .select(*keys, F.lit(True).alias("__hot"))
-        .dropna(subset=keys)
+    per_key = left.filter(all_present(keys)).groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows"))
+    hot = per_key.filter(F.col("__rows") * parts > total).select(
+        *keys, F.ceil(F.col("__rows") * parts / total).cast("int").alias("__salts")
     )
     marker = F.xxhash64(*[F.col(c) for c in left.columns]) if salt_by is None else F.xxhash64(salt_by)
-    salt = F.when(F.col("__hot"), F.pmod(marker, F.lit(salts)).cast("int")).otherwise(0)
-    copies = F.sequence(F.lit(0), F.when(F.col("__hot"), F.lit(salts - 1)).otherwise(0))
-    marked_left = left.join(F.broadcast(hot), keys, "left").withColumn("__salt", salt).drop("__hot")
-    marked_right = (
-        right.join(F.broadcast(hot), keys, "left").withColumn("__salt", F.explode(copies)).drop("__hot")
+    spread = F.when(any_null(keys), F.lit(parts)).otherwise(F.coalesce("__salts", F.lit(1)))
+    copies = F.sequence(F.lit(0), F.coalesce("__salts", F.lit(1)) - 1)
+    salted_left = (
+        left.join(F.broadcast(hot), keys, "left")
+        .withColumn("__salt", F.pmod(marker, spread).cast("int"))
+        .drop("__salts")
+    )
+    salted_right = (
+        right.join(F.broadcast(hot), keys, "left").withColumn("__salt", F.explode(copies)).drop("__salts")
     )
-    return marked_left.join(marked_right, [*keys, "__salt"], how).drop("__salt")
+    return salted_left.join(salted_right, [*keys, "__salt"], how).drop("__salt")
 
 
 def group_lookup(df: DataFrame, stats: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -123,10 +129,12 @@ def activity_assessment_merge(
     """Full outer merge of daily activity with submissions made on that day.
 
     Keeps submissions without activity (counters 0) and active days without submission; several
-    submissions on one day give several rows. ``daily`` is unique on keys + day, so the outer join
-    splits into submissions-left-join-daily, which can be salted, and the unmatched days.
+    submissions on one day give several rows. The outer join is taken as submissions-left-join-
+    daily, which can be salted, plus the days nobody submitted on. ``daily`` is written first: both
+    halves then read the collapsed days and the click log itself is read once.
     """
     on = [*keys, day]
+    daily = materialise(daily, "daily")
     subs = submissions.withColumnRenamed(submitted_day, day)
     with_activity = salted_join(subs, daily, on)
     quiet_days = daily.join(subs.select(*on).distinct(), on, "left_anti")

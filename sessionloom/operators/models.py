@@ -11,7 +11,7 @@ from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sessionloom.functions.columns import hash_fraction
+from sessionloom.functions.columns import all_present, hash_fraction
 from sessionloom.operators.ranking import stratified_folds
 from sessionloom.sources.scratch import materialise
 
@@ -35,7 +35,7 @@ def standardise(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 def most_frequent(train: DataFrame, label: str):
     """Most frequent label of the training rows (smallest on a tie), as a scalar subquery."""
-    counts = train.dropna(subset=[label]).groupBy(label).agg(F.count(F.lit(1)).alias("n"))
+    counts = train.filter(all_present([label])).groupBy(label).agg(F.count(F.lit(1)).alias("n"))
     return counts.agg(F.max_by(label, F.struct(F.col("n"), -F.col(label)))).scalar()
 
 

@@ -8,7 +8,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sessionloom.functions.columns import any_null, percent
+from sessionloom.functions.columns import all_present, any_null, percent
 from sessionloom.operators.quantiles import approximate_quantiles, exact_quantiles
 from sessionloom.operators.shape import stack_row
 
@@ -114,7 +114,8 @@ def correlation_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def value_shares(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Value counts and shares for several columns: ``(variable, value, n, share)``, no nulls."""
+    """Value counts and shares for several columns, most frequent first: ``(variable, value, n,
+    share)``, no nulls."""
     cols = list(cols)
     text = df.select(*[F.col(c).cast("string").alias(c) for c in cols])
     counts = (
@@ -125,7 +126,8 @@ def value_shares(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     )
     totals = counts.groupBy("variable").agg(F.sum("n").alias("total"))
     shares = counts.join(F.broadcast(totals), "variable")  # one row per listed column
-    return shares.select("variable", "value", "n", F.round(F.col("n") / F.col("total"), 6).alias("share"))
+    share = F.round(F.col("n") / F.col("total"), 6).alias("share")
+    return shares.select("variable", "value", "n", share).orderBy("variable", F.desc("n"), "value")
 
 
 def attribute_variability(df: DataFrame, entity: Sequence[str], cols: Sequence[str]) -> DataFrame:
@@ -135,7 +137,7 @@ def attribute_variability(df: DataFrame, entity: Sequence[str], cols: Sequence[s
     The long form keeps it to one distinct and two counts for all attributes together.
     """
     cols = list(cols)
-    text = df.dropna(subset=list(entity)).select(*entity, *[F.col(c).cast("string").alias(c) for c in cols])
+    text = df.filter(all_present(entity)).select(*entity, *[F.col(c).cast("string").alias(c) for c in cols])
     values = text.unpivot(list(entity), cols, "variable", "value").filter(F.col("value").isNotNull())
     per_entity = values.distinct().groupBy(*entity, "variable").agg(F.count(F.lit(1)).alias("distinct_values"))
     return per_entity.groupBy("variable").agg(
@@ -156,7 +158,7 @@ def incomplete_entities(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 def distinct_count(df: DataFrame, by: Sequence[str], col: str, name: str) -> DataFrame:
     """Distinct non-null values per group. The inner distinct spreads a hot group over tasks."""
     return (
-        df.dropna(subset=list(by))
+        df.filter(all_present(by))
         .select(*by, col)
         .distinct()
         .groupBy(*by)
@@ -176,6 +178,6 @@ def contingency(df: DataFrame, a: str, a_values: Sequence, b: str, b_values: Seq
 
 def stacked_counts(df: DataFrame, row: str, stack: str, levels: Sequence) -> DataFrame:
     """Counts per row value with one column per level (the data of a stacked bar)."""
-    return df.dropna(subset=[row]).groupBy(row).agg(
+    return df.filter(all_present([row])).groupBy(row).agg(
         *[F.count_if(F.col(stack) == v).alias(f"n_{v}") for v in levels]
     )

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sessionloom.functions.columns import all_zero
+from sessionloom.functions.columns import all_present, all_zero
 from sessionloom.operators.joins import group_lookup, id_difference, semi_members
 from sessionloom.operators.profile import distinct_count
 
@@ -28,7 +28,7 @@ def score_coverage(df: DataFrame, session: Sequence[str], entity: str, day: str,
     Rows collapse per entity first, so a session holding most of the log is combined in parts.
     """
     scored_day = F.when(F.col(score).isNotNull(), F.col(day))
-    per_entity = df.dropna(subset=[*session, entity]).groupBy(*session, entity).agg(
+    per_entity = df.filter(all_present([*session, entity])).groupBy(*session, entity).agg(
         F.count(F.lit(1)).alias("rows"),
         F.count(score).alias("scored"),
         F.min(day).alias("lo"),
@@ -65,7 +65,7 @@ def rows_of_scored_ids(df: DataFrame, keys: Sequence[str], score: str) -> DataFr
 
 def last_day_rows(df: DataFrame, session: Sequence[str], day: str) -> DataFrame:
     """Rows on the last day of their session."""
-    last = df.dropna(subset=list(session)).groupBy(*session).agg(F.max(day).alias("__last"))
+    last = df.filter(all_present(session)).groupBy(*session).agg(F.max(day).alias("__last"))
     return group_lookup(df, last, session).filter(F.col(day) == F.col("__last")).drop("__last")
 
 
@@ -79,7 +79,7 @@ def score_order_check(df: DataFrame, keys: Sequence[str], day: str, score: str)
     """Per id with scored and unscored rows: do all unscored days come before the scored ones?"""
     scored = F.col(score).isNotNull()
     return (
-        df.dropna(subset=list(keys))
+        df.filter(all_present(keys))
         .groupBy(*keys)
         .agg(
             F.max(F.when(~scored, F.col(day))).alias("last_unscored_day"),
@@ -95,7 +95,7 @@ def score_order_check(df: DataFrame, keys: Sequence[str], day: str, score: str)
 
 def busiest_entity(df: DataFrame, key: str):
     """Key with the most rows (smallest key on a tie), as a scalar subquery."""
-    counts = df.dropna(subset=[key]).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    counts = df.filter(all_present([key])).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
     return counts.agg(F.max_by(key, F.struct(F.col("n"), -F.col(key)))).scalar()
 
 

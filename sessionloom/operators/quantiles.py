@@ -9,6 +9,7 @@ from operator import add, or_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sessionloom.functions.columns import all_present
 from sessionloom.operators.shape import unpivot_numeric
 from sessionloom.sources.scratch import materialise
 
@@ -33,7 +34,7 @@ def exact_quantiles(
     """
     by, probs = list(by), sorted({float(p) for p in probs})
     group, k = [*by, "feature"], len(probs)
-    df = df.dropna(subset=by) if by else df
+    df = df.filter(all_present(by)) if by else df
 
     margin = 4.0 / accuracy
     marks = [max(p - margin, 0.0) for p in probs] + [min(p + margin, 1.0) for p in probs]

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sessionloom.functions.columns import chunk_of
+from sessionloom.functions.columns import all_present, chunk_of
 from sessionloom.operators.joins import group_lookup
 from sessionloom.sources.scratch import materialise
 
@@ -24,7 +24,7 @@ def with_row_number(
     each (group, task) block then gives the offset to add. ``order_by`` must be unique per group.
     """
     within = list(within)
-    df = df.dropna(subset=within) if within else df
+    df = df.filter(all_present(within)) if within else df
     slot = F.monotonically_increasing_id()
     placed = materialise(
         df.repartitionByRange(*within, *order_by)

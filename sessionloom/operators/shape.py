@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sessionloom.functions.columns import zero_sum
+from sessionloom.functions.columns import all_present, zero_sum
 
 
 def shared_columns(left: DataFrame, right: DataFrame) -> list[str]:
@@ -46,7 +46,7 @@ def pivot_sum(
     """
     amount = F.col(amount) if isinstance(amount, str) else amount
     return (
-        df.dropna(subset=[*keys, level_col])
+        df.filter(all_present([*keys, level_col]))
         .groupBy(*keys)
         .agg(*[zero_sum(F.when(F.col(level_col) == v, amount)).cast("bigint").alias(v) for v in levels])
     )

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sessionloom.functions.columns import all_present
 from sessionloom.operators.joins import (
     activity_assessment_merge,
     dimension_outer_merge,
@@ -45,7 +46,7 @@ def daily_activity(
     Clicks are summed per site and day before the site table is joined, so the join sees the
     collapsed log and a heavy student has at most one row per site and day.
     """
-    per_site = student_vle.dropna(subset=[*SESSION, "date"]).groupBy(*SESSION, "id_site", "date").agg(
+    per_site = student_vle.filter(all_present([*SESSION, "date"])).groupBy(*SESSION, "id_site", "date").agg(
         F.sum("sum_click").alias("sum_click")
     )
     sites = vle.select("id_site", *COURSE, "activity_type")
@@ -60,7 +61,7 @@ def consolidated(
     subs = submissions(tables["studentAssessment"], tables["assessments"])
     merged = activity_assessment_merge(daily, subs, SESSION, "date", "date_submitted", activities)
     info = session_info(tables["courses"], tables["studentInfo"], tables["studentRegistration"])
-    return left_merge(merged, info.dropna(subset=["id_student"]))
+    return left_merge(merged, info.filter(all_present(["id_student"])))
 
 
 def dayless_totals(tables: dict[str, DataFrame]) -> DataFrame:

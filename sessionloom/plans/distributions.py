@@ -24,6 +24,10 @@ def hist_multi_feature(spark, sf):
     return histograms.histograms(v.table(spark, sf, "lineitem"), FEATURES, 10)
 
 
+def session_histograms(spark, sf):
+    return histograms.histograms(v.stored_sessions(spark, sf), v.ACTIVITY, 20, nonzero_only=True)
+
+
 def hist_nonzero(spark, sf):
     return histograms.histograms(v.table(spark, sf, "lineitem"), FEATURES, 20, nonzero_only=True)
 
@@ -79,7 +83,7 @@ def fill_first_non_null(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        hist_fixed_edges, hist_equal_bins, hist_multi_feature, hist_nonzero, hist_2d, hist_by_class,
+        hist_fixed_edges, hist_equal_bins, hist_multi_feature, session_histograms, hist_nonzero, hist_2d, hist_by_class,
         hist_trimmed_class, hist_tail_common, hist_trimmed_facets, hist_days_by_presentation,
         day_range_by_group, density_curve, pair_bins, fill_first_non_null,
     )
@@ -133,6 +137,9 @@ LEFT JOIN part p ON {_edges_case('p.p_size', SIZE_EDGES)} = e.bin GROUP BY ALL""
     "hist_equal_bins": histogram_sql(_long("orders", ["o_totalprice"]), 30, []),
     "hist_multi_feature": histogram_sql(_long("lineitem", FEATURES), 10, []),
     "hist_nonzero": histogram_sql(f"SELECT * FROM ({_long('lineitem', FEATURES)}) WHERE value > 0", 20, []),
+    "session_histograms": histogram_sql(
+        f"SELECT * FROM ({_long(f'({v.SESSIONS})', v.ACTIVITY)}) WHERE value > 0", 20, []
+    ),
     "hist_2d": f"""
 WITH c AS (SELECT {_edges_case('l_quantity', QUANTITY_EDGES)} AS x_bin, {_edges_case('l_discount', DISCOUNT_EDGES)} AS y_bin,
                   count(*) AS n FROM lineitem GROUP BY ALL)

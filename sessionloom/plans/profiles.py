@@ -42,6 +42,15 @@ def value_shares(spark, sf):
     return profile.value_shares(v.table(spark, sf, "orders"), SHARE_COLS)
 
 
+def unique_entity_shares(spark, sf):
+    """Value shares over one row per customer, the earliest order."""
+    return profile.value_shares(first_per_entity(spark, sf), SHARE_COLS)
+
+
+def session_sparsity(spark, sf):
+    return profile.sparsity_profile(v.sessions(spark, sf), v.ACTIVITY)
+
+
 def attribute_variability(spark, sf):
     return profile.attribute_variability(v.table(spark, sf, "orders"), ["o_custkey"], SHARE_COLS)
 
@@ -75,7 +84,10 @@ def stacked_counts(spark, sf):
 
 def grouped_counts(spark, sf):
     return (
-        v.students(spark, sf).groupBy("region", "code_module").agg(F.count(F.lit(1)).alias("n"))
+        v.students(spark, sf)
+        .groupBy("region", "code_module")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .orderBy("region", "code_module")
     )
 
 
@@ -134,7 +146,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         describe_numeric, missing_counts, sparsity_profile, schema_profile, correlation_matrix,
-        snapshot_correlation, value_shares, attribute_variability, incomplete_entities, first_per_entity,
+        snapshot_correlation, value_shares, unique_entity_shares, session_sparsity, attribute_variability, incomplete_entities, first_per_entity,
         contingency_dense, session_contingency, stacked_counts, grouped_counts, distinct_tuples,
         distinct_days, chunked_sort, numbered_orders, head_rows, sample_rows, quantile_table,
         quantile_by_class, quantile_trim, quantile_trim_class, quantile_band,
@@ -152,6 +164,26 @@ def _union(parts) -> str:
     return " UNION ALL ".join(parts)
 
 
+def _sparsity_sql(source: str, cols: list[str]) -> str:
+    return f"WITH src AS ({source}) " + _union(
+        f"""SELECT '{c}' AS column_name, count(*) FILTER (WHERE {c} = 0) AS zero,
+count(*) FILTER (WHERE {c} <> 0) AS nonzero, count(*) FILTER (WHERE {c} <> 0 OR {c} IS NULL) AS nonzero_or_null,
+count({c}) AS non_null,
+round_even(count(*) FILTER (WHERE {c} = 0) * 100.0::DOUBLE / count({c}), 2) AS pct_zero,
+round_even(count(*) FILTER (WHERE {c} <> 0 OR {c} IS NULL) * 100.0::DOUBLE / count({c}), 2) AS pct_nonzero,
+round(count(*) FILTER (WHERE {c} = 0) / count(*), 6) AS zero_share_of_rows FROM src"""
+        for c in cols
+    )
+
+
+def _shares_sql(source: str) -> str:
+    return f"WITH src AS ({source}) " + _union(
+        f"SELECT '{c}' AS variable, {c} AS value, count(*) AS n, "
+        f"round(count(*) / (SELECT count({c}) FROM src), 6) AS share FROM src WHERE {c} IS NOT NULL GROUP BY {c}"
+        for c in SHARE_COLS
+    )
+
+
 def _contingency_sql(source: str) -> str:
     mods = ", ".join(f"('{m}')" for m in v.MODULES)
     pres = ", ".join(f"({p})" for p in v.PRESENTATIONS)
@@ -162,6 +194,10 @@ LEFT JOIN ({source}) s ON s.code_module = m.code_module AND s.code_presentation
 GROUP BY ALL"""
 
 
+_FIRST = """
+SELECT * EXCLUDE (rn) FROM (
+  SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS rn FROM orders)
+WHERE rn = 1"""
 _COUNTS = f"SELECT region, code_module, count(*) AS n FROM ({v.STUDENTS}) GROUP BY region, code_module"
 
 ORACLE = {
@@ -169,15 +205,8 @@ ORACLE = {
     "missing_counts": f"WITH src AS ({v.GAPPY_LINES}) " + _union(
         f"SELECT '{c}' AS column_name, count(*) - count({c}) AS missing FROM src" for c in _LINE_TYPES
     ),
-    "sparsity_profile": f"WITH src AS ({v.GAPPY_LINES}) " + _union(
-        f"""SELECT '{c}' AS column_name, count(*) FILTER (WHERE {c} = 0) AS zero,
-count(*) FILTER (WHERE {c} <> 0) AS nonzero, count(*) FILTER (WHERE {c} <> 0 OR {c} IS NULL) AS nonzero_or_null,
-count({c}) AS non_null,
-round_even(count(*) FILTER (WHERE {c} = 0) * 100.0::DOUBLE / count({c}), 2) AS pct_zero,
-round_even(count(*) FILTER (WHERE {c} <> 0 OR {c} IS NULL) * 100.0::DOUBLE / count({c}), 2) AS pct_nonzero,
-round(count(*) FILTER (WHERE {c} = 0) / count(*), 6) AS zero_share_of_rows FROM src"""
-        for c in MEASURES
-    ),
+    "sparsity_profile": _sparsity_sql(v.GAPPY_LINES, MEASURES),
+    "session_sparsity": _sparsity_sql(v.SESSIONS, v.ACTIVITY),
     "schema_profile": f"WITH src AS ({v.GAPPY_LINES}) " + _union(
         f"SELECT '{c}' AS column_name, {i} AS position, '{t}' AS type_name, count(*) AS row_count, "
         f"count({c}) AS non_null FROM src"
@@ -185,11 +214,8 @@ round(count(*) FILTER (WHERE {c} = 0) / count(*), 6) AS zero_share_of_rows FROM
     ),
     "correlation_matrix": correlation_sql(v.GAPPY_LINES, MEASURES),
     "snapshot_correlation": correlation_sql(v.SESSIONS, [*v.ACTIVITY, *v.ATTRIBUTES]),
-    "value_shares": _union(
-        f"SELECT '{c}' AS variable, {c} AS value, count(*) AS n, "
-        f"round(count(*) / (SELECT count({c}) FROM orders), 6) AS share FROM orders WHERE {c} IS NOT NULL GROUP BY {c}"
-        for c in SHARE_COLS
-    ),
+    "value_shares": _shares_sql("SELECT * FROM orders"),
+    "unique_entity_shares": _shares_sql(_FIRST),
     "attribute_variability": _union(
         f"SELECT '{c}' AS variable, count(*) AS entities, round(avg(n), 6) AS mean_distinct "
         f"FROM (SELECT count(DISTINCT {c}) AS n FROM orders GROUP BY o_custkey) WHERE n > 0"
@@ -200,10 +226,7 @@ SELECT count(*) AS entities,
        count(*) FILTER (WHERE code_module IS NULL OR region IS NULL OR last_day IS NULL) AS incomplete,
        count(*) FILTER (WHERE code_module IS NOT NULL AND region IS NOT NULL AND last_day IS NOT NULL) AS complete
 FROM ({v.STUDENTS}) LEFT JOIN (SELECT id_student, max(date) AS last_day FROM ({v.EVENT_DAYS}) GROUP BY 1) USING (id_student)""",
-    "first_per_entity": """
-SELECT * EXCLUDE (rn) FROM (
-  SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS rn FROM orders)
-WHERE rn = 1""",
+    "first_per_entity": _FIRST,
     "contingency_dense": _contingency_sql(v.CLICKS),
     "session_contingency": _contingency_sql(v.SESSIONS),
     "stacked_counts": f"""

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import os
 import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
+from pyarrow.fs import FileSystem
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -71,7 +71,7 @@ def csv_null_tokens(spark, sf):
 
 def write_zip_archives(df: DataFrame, folder: str, member: str) -> int:
     """Each task packs its rows as CSV members of zip archives in the shared folder."""
-    os.makedirs(folder, exist_ok=True)
+    FileSystem.from_uri(folder)[0].create_dir(FileSystem.from_uri(folder)[1])
     header = ",".join(df.columns) + "\n"
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -81,11 +81,13 @@ def write_zip_archives(df: DataFrame, folder: str, member: str) -> int:
         done = 0
 
         def flush() -> pd.DataFrame:
-            final = os.path.join(folder, f"part-{part:05d}-{done:05d}.zip")
+            filesystem, base = FileSystem.from_uri(folder)
+            final = f"{base}/part-{part:05d}-{done:05d}.zip"
             draft = f"{final}.{attempt}.tmp"
-            with zipfile.ZipFile(draft, "w", zipfile.ZIP_DEFLATED) as archive:
-                archive.writestr(member, header + "\n".join(held) + "\n")
-            os.replace(draft, final)  # a repeated attempt puts the same content in place
+            with filesystem.open_output_stream(draft) as out:
+                with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as archive:
+                    archive.writestr(member, header + "\n".join(held) + "\n")
+            filesystem.move(draft, final)  # a repeated attempt puts the same content in place
             return pd.DataFrame({"rows": [len(held)]})
 
         for batch in batches:
@@ -102,7 +104,7 @@ def write_zip_archives(df: DataFrame, folder: str, member: str) -> int:
 
 def zip_csv_scan(spark, sf):
     folder = scratch_path(spark, "orders-zip")
-    write_zip_archives(v.table(spark, sf, "orders"), folder.removeprefix("file:"), "orders.csv")
+    write_zip_archives(v.table(spark, sf, "orders"), folder, "orders.csv")
     return files.read_zipped_csv(spark, folder, ORDERS).drop("archive")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import csv
+import fnmatch
 import io
 import zipfile
 from collections.abc import Iterator, Sequence
@@ -17,19 +19,24 @@ LINES_PER_BATCH = 10_000
 
 
 def read_csv(spark: SparkSession, path: str, schema: Schema, null_tokens: Sequence[str] = ()) -> DataFrame:
-    """CSV with a header under a declared schema. Extra null spellings need the text first,
-    so those columns are read as strings and cast."""
-    if not null_tokens:
-        return spark.read.schema(schema).option("header", True).csv(path)
+    """CSV with a header, columns matched to the declared schema by name.
+
+    Only the first line is looked at to learn the column order; no inference pass. A file whose
+    header differs from that order makes the read fail instead of shifting columns. Extra null
+    spellings need the text first, so the columns are then read as strings and cast.
+    """
     target = _struct(schema)
-    text = T.StructType([T.StructField(f.name, T.StringType()) for f in target])
-    raw = spark.read.schema(text).option("header", True).csv(path)
-    return raw.select(
-        *[
-            F.when(~F.col(f.name).isin(*null_tokens), F.col(f.name)).cast(f.dataType).alias(f.name)
-            for f in target
-        ]
-    )
+    types = {f.name: T.StringType() if null_tokens else f.dataType for f in target}
+    header = spark.read.option("header", True).csv(path).columns
+    missing = [c for c in target.names if c not in header]
+    if missing:
+        raise ValueError(f"{path} has no column {', '.join(missing)}")
+    in_file = T.StructType([T.StructField(c, types.get(c, T.StringType())) for c in header])
+    raw = spark.read.schema(in_file).option("header", True).option("enforceSchema", False).csv(path)
+    if not null_tokens:
+        return raw.select(*target.names)
+    keep = lambda c: F.when(~F.col(c).isin(*null_tokens), F.col(c))
+    return raw.select(*[keep(f.name).cast(f.dataType).alias(f.name) for f in target])
 
 
 def write_csv(df: DataFrame, path: str) -> None:
@@ -45,17 +52,24 @@ def _ddl(schema: T.StructType) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
 
 
-def _zip_lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        for path, content in zip(batch["path"], batch["content"]):
-            with zipfile.ZipFile(io.BytesIO(content)) as archive:
-                for member in archive.namelist():
-                    if member.endswith("/"):
-                        continue
-                    with archive.open(member) as raw:
-                        text = io.TextIOWrapper(raw, encoding="utf-8", newline="")
-                        next(text, None)  # header
-                        yield from _line_batches(text, path, member)
+def _zip_lines(names: Sequence[str], pattern: str):
+    """Batch function: archive bytes in, CSV lines of the matching members out."""
+
+    def lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for path, content in zip(batch["path"], batch["content"]):
+                with zipfile.ZipFile(io.BytesIO(content)) as archive:
+                    for member in archive.namelist():
+                        if member.endswith("/") or not fnmatch.fnmatchcase(member, pattern):
+                            continue
+                        with archive.open(member) as raw:
+                            text = io.TextIOWrapper(raw, encoding="utf-8-sig", newline="")
+                            header = next(csv.reader([next(text, "")]), [])
+                            if header != list(names):
+                                raise ValueError(f"{path}!{member}: header {header}, expected {list(names)}")
+                            yield from _line_batches(text, path, member)
+
+    return lines
 
 
 def _line_batches(text: Iterator[str], path: str, member: str) -> Iterator[pd.DataFrame]:
@@ -71,19 +85,20 @@ def _line_batches(text: Iterator[str], path: str, member: str) -> Iterator[pd.Da
         yield pd.DataFrame({"archive": path, "member": member, "line": lines})
 
 
-def read_zipped_csv(spark: SparkSession, path: str, schema: Schema, member_glob: str = "%") -> DataFrame:
-    """CSV members of every zip archive under ``path``. Archives spread over tasks; a member is
-    decompressed as a stream and leaves its task in bounded batches. A quoted field may not span
-    lines. Adds the columns ``archive`` and ``member``."""
+def read_zipped_csv(spark: SparkSession, path: str, schema: Schema, members: str = "*") -> DataFrame:
+    """CSV members (chosen by file pattern) of every zip archive under ``path``.
+
+    Archives spread over tasks; a member is decompressed as a stream and leaves its task in bounded
+    batches. Headers must equal the schema's column names. A quoted field may not span lines.
+    Adds the columns ``archive`` and ``member``.
+    """
     target = _struct(schema)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path)
     lines = files.select("path", "content").mapInPandas(
-        _zip_lines, "archive string, member string, line string"
-    )
-    parsed = lines.filter(F.col("member").like(member_glob)).select(
-        "archive", "member", F.from_csv("line", _ddl(target)).alias("row")
+        _zip_lines(target.names, members), "archive string, member string, line string"
     )
-    return parsed.select("archive", "member", "row.*")
+    row = F.from_csv("line", _ddl(target)).alias("row")
+    return lines.select("archive", "member", row).select("archive", "member", "row.*")
 
 
 def write_partitioned(

@@ -23,7 +23,7 @@ def hot(spark):
 def test_salted_join_equals_plain_join(spark, hot, how):
     _, left = hot
     right = spark.createDataFrame([(k, k * 10) for k in range(0, 400, 2)] + [(7, 70)], "k int, v int")
-    salted = joins.salted_join(left, right, ["k"], how, hot_parts=20, salts=5)
+    salted = joins.salted_join(left, right, ["k"], how, parts=20)
     assert records(salted) == records(left.join(right, "k", how).select(*salted.columns))
 
 

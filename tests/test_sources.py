@@ -39,11 +39,33 @@ def test_csv_null_tokens(spark, tmp_path):
     assert records(df) == [(1, None), (2, 40.5), (3, None)]
 
 
+def test_csv_columns_match_by_name(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("score,extra,id\n1.5,x,7\n")
+    df = files.read_csv(spark, str(tmp_path / "a.csv"), "id int, score double")
+    assert records(df) == [(7, 1.5)]
+    with pytest.raises(ValueError, match="no column other"):
+        files.read_csv(spark, str(tmp_path / "a.csv"), "id int, other int")
+
+
+def test_csv_files_with_different_headers_fail(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("id,score\n1,2\n")
+    (tmp_path / "b.csv").write_text("score,id\n1,2\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        files.read_csv(spark, str(tmp_path), "id int, score int").collect()
+
+
+def test_zipped_csv_rejects_another_header(spark, tmp_path):
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+        z.writestr("a.csv", "name,id\nx,1\n")
+    with pytest.raises(Exception, match="expected"):
+        files.read_zipped_csv(spark, str(tmp_path), "id int, name string").collect()
+
+
 def test_zipped_csv_members(spark, tmp_path):
     for part in range(3):
         with zipfile.ZipFile(tmp_path / f"{part}.zip", "w", zipfile.ZIP_DEFLATED) as z:
             z.writestr("info.csv", f'id,name\r\n{part},"a, b"\r\n{part + 10},c\r\n')
-            z.writestr("other.csv", "id,name\n99,zz\n")
+            z.writestr("other.csv", "x\n99\n")
             z.writestr("folder/", "")
     df = files.read_zipped_csv(spark, str(tmp_path), "id int, name string", "info.csv")
     assert records(df.select("id", "name", "member")) == sorted(
