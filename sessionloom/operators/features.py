@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sessionloom.functions.columns import all_present, row_sum, week_number, zero_sum
-from sessionloom.operators.joins import group_lookup, salted_join
+from sessionloom.operators.joins import group_lookup
 
 
 def session_snapshot(
@@ -121,5 +121,5 @@ def regularity_metrics(df: DataFrame, keys: Sequence[str], day: str, week: str)
 
 
 def with_entity_metric(df: DataFrame, metrics: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Put per-entity metrics back on every row of the entity (rows of a hot entity are salted)."""
-    return salted_join(df, metrics, keys)
+    """Put per-entity metrics back on every row of the entity."""
+    return group_lookup(df, metrics, keys)

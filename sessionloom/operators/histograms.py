@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sessionloom.functions.columns import all_present, bin_of, edge_bin_of
+from sessionloom.operators.joins import lookup_join
 from sessionloom.operators.quantiles import trim
 from sessionloom.operators.shape import unpivot_numeric
 from sessionloom.sources.scratch import materialise
@@ -57,13 +58,12 @@ def _ranges(data: DataFrame, group: Sequence[str]) -> DataFrame:
     return data.groupBy(*group).agg((lo - flat).alias("lo"), (hi + flat).alias("hi"))
 
 
-def _bin_counts(data: DataFrame, ranges: DataFrame, on: Sequence[str], split: Sequence[str], bins: int) -> DataFrame:
-    """Counts per (on..., split..., bin), empty bins included."""
-    counts = (
-        data.join(ranges, list(on))
-        .groupBy(*on, *split, bin_of("value", "lo", "hi", bins).alias("bin"))
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+def _bin_counts(
+    ranged: DataFrame, ranges: DataFrame, on: Sequence[str], split: Sequence[str], bins: int
+) -> DataFrame:
+    """Counts per (on..., split..., bin), empty bins included. ``ranged``: the rows with their range."""
+    bin_no = bin_of("value", "lo", "hi", bins).alias("bin")
+    counts = ranged.groupBy(*on, *split, bin_no).agg(F.count(F.lit(1)).alias("n"))
     shown = ranges
     if split:
         shown = counts.select(*on, *split).distinct().join(ranges, list(on))
@@ -83,6 +83,10 @@ def _bin_counts(data: DataFrame, ranges: DataFrame, on: Sequence[str], split: Se
     )
 
 
+def _with_column_range(data: DataFrame, ranges: DataFrame) -> DataFrame:
+    return data.join(F.broadcast(ranges), "feature")  # one row per listed column
+
+
 def histograms(
     df: DataFrame, values: Sequence[str], bins: int, by: Sequence[str] = (), nonzero_only: bool = False
 ) -> DataFrame:
@@ -97,8 +101,10 @@ def histograms(
     data = data.filter(F.col("value") > 0) if nonzero_only else data
     on = [*by, "feature"]
     ranges = _ranges(data, on)
-    ranges = materialise(ranges, "ranges") if by else F.broadcast(ranges)  # one row per listed column
-    return _bin_counts(data, ranges, on, [], bins)
+    if by:
+        ranges = materialise(ranges, "ranges")
+        return _bin_counts(lookup_join(data, ranges, on, "inner"), ranges, on, [], bins)
+    return _bin_counts(_with_column_range(data, ranges), ranges, on, [], bins)
 
 
 def trimmed_histograms(
@@ -111,7 +117,8 @@ def trimmed_histograms(
 def tail_histogram(df: DataFrame, value: str, prob: float, split: str, bins: int = 50) -> DataFrame:
     """Rows at or above the global quantile, common bins for all classes, split by class."""
     data = unpivot_numeric(trim(df, value, prob, "lower"), [value], [split]).filter(all_present([split]))
-    return _bin_counts(data, F.broadcast(_ranges(data, ["feature"])), ["feature"], [split], bins)
+    ranges = _ranges(data, ["feature"])
+    return _bin_counts(_with_column_range(data, ranges), ranges, ["feature"], [split], bins)
 
 
 def density_curve(df: DataFrame, value: str, points: int = 100) -> DataFrame:

@@ -13,6 +13,8 @@ from sessionloom.sources.scratch import materialise
 
 # Lower bound on the number of parts a skewed side is cut into.
 MIN_PARTS = 200
+# Rows up to which a counted per-group table is broadcast (a few MB of keys and statistics).
+BROADCAST_ROWS = 100_000
 
 
 def outer_merge(left: DataFrame, right: DataFrame, keys: Sequence[str] | None = None) -> DataFrame:
@@ -79,12 +81,17 @@ def salted_join(
     return salted_left.join(salted_right, [*keys, "__salt"], how).drop("__salt")
 
 
-def group_lookup(df: DataFrame, stats: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Bring a per-group statistic back onto the rows.
+def lookup_join(df: DataFrame, stored: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
+    """Join a written per-group table onto the rows: broadcast when its row count is within
+    ``BROADCAST_ROWS`` (counted from the file footers), salted shuffle join beyond that."""
+    if stored.count() <= BROADCAST_ROWS:
+        return df.join(F.broadcast(stored), list(keys), how)
+    return salted_join(df, stored, keys, how)
 
-    The statistic is written first, so its real size decides between broadcast and shuffle.
-    """
-    return df.join(materialise(stats, "stats"), list(keys), "left")
+
+def group_lookup(df: DataFrame, stats: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Bring a per-group statistic back onto the rows. It is computed once and written."""
+    return lookup_join(df, materialise(stats, "stats"), keys)
 
 
 def fan_out_totals(
@@ -130,13 +137,13 @@ def activity_assessment_merge(
 
     Keeps submissions without activity (counters 0) and active days without submission; several
     submissions on one day give several rows. The outer join is taken as submissions-left-join-
-    daily, which can be salted, plus the days nobody submitted on. ``daily`` is written first: both
+    daily, broadcast or salted, plus the days nobody submitted on. ``daily`` is written first: both
     halves then read the collapsed days and the click log itself is read once.
     """
     on = [*keys, day]
     daily = materialise(daily, "daily")
     subs = submissions.withColumnRenamed(submitted_day, day)
-    with_activity = salted_join(subs, daily, on)
+    with_activity = lookup_join(subs, daily, on)
     quiet_days = daily.join(subs.select(*on).distinct(), on, "left_anti")
     merged = with_activity.unionByName(quiet_days, allowMissingColumns=True)
     return fill_zero(merged, activity_cols).select(
@@ -146,7 +153,7 @@ def activity_assessment_merge(
 
 def semi_members(df: DataFrame, ids: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows whose key is in the id set."""
-    return salted_join(df, ids.select(*keys).distinct(), keys, "left_semi")
+    return lookup_join(df, materialise(ids.select(*keys).distinct(), "ids"), keys, "left_semi")
 
 
 def id_difference(all_ids: DataFrame, minus: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sessionloom.functions.columns import all_present, all_zero
-from sessionloom.operators.joins import group_lookup, id_difference, semi_members
+from sessionloom.operators.joins import group_lookup, id_difference, lookup_join, semi_members
 from sessionloom.operators.profile import distinct_count
+from sessionloom.sources.scratch import materialise
 
 
 def multi_assessment_days(df: DataFrame, keys: Sequence[str], assessment: str) -> DataFrame:
@@ -70,9 +71,26 @@ def last_day_rows(df: DataFrame, session: Sequence[str], day: str) -> DataFrame:
 
 
 def last_day_scored(df: DataFrame, session: Sequence[str], entity: str, day: str, score: str) -> DataFrame:
-    """Rows on the session's last day that belong to an id scored in that session."""
+    """Rows on the session's last day that belong to an id scored in that session.
+
+    One collapse to (session, id) gives both the last day and who is scored; the ids that qualify
+    are then looked up on the rows.
+    """
     keys = [*session, entity]
-    return semi_members(last_day_rows(df, session, day), scored_ids(df, keys, score), keys)
+    per_entity = materialise(
+        df.filter(all_present(keys))
+        .groupBy(*keys)
+        .agg(F.max(day).alias("__seen"), F.count(score).alias("__scored")),
+        "entities",
+    )
+    last = per_entity.groupBy(*session).agg(F.max("__seen").alias("__last"))
+    members = (
+        group_lookup(per_entity, last, session)
+        .filter((F.col("__scored") > 0) & (F.col("__seen") == F.col("__last")))
+        .select(*keys, "__last")
+    )
+    rows = lookup_join(df, materialise(members, "members"), keys, "inner")
+    return rows.filter(F.col(day) == F.col("__last")).select(*df.columns)
 
 
 def score_order_check(df: DataFrame, keys: Sequence[str], day: str, score: str) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sessionloom.functions.columns import all_present
+from sessionloom.operators.joins import lookup_join
 from sessionloom.operators.shape import unpivot_numeric
 from sessionloom.sources.scratch import materialise
 
@@ -57,18 +58,18 @@ def exact_quantiles(
         F.when(narrow, F.slice("marks", 1, k)).otherwise(F.array_repeat(-inf, k)).alias("lo"),
         F.when(narrow, F.slice("marks", k + 1, k)).otherwise(F.array_repeat(inf, k)).alias("hi"),
     )
-    # Ungrouped: one row per listed column. Grouped: written, so the join sees its true size.
-    brackets = materialise(brackets, "brackets") if by else F.broadcast(brackets)
+    data = unpivot_numeric(df, cols, by)
+    if by:
+        bracketed = lookup_join(data, materialise(brackets, "brackets"), group, "inner")
+    else:
+        bracketed = data.join(F.broadcast(brackets), "feature")  # one row per listed column
 
     x = F.col("value")
     inside = reduce(or_, [(x >= F.col("lo")[i]) & (x <= F.col("hi")[i]) for i in range(k)])
     stretch = reduce(add, [(x > F.col("hi")[i]).cast("int") for i in range(k)])
-    counted = (
-        unpivot_numeric(df, cols, by)
-        .join(brackets, group)
-        .groupBy(*group, "n", stretch.alias("stretch"), F.when(inside, x).alias("exact"))
-        .agg(F.count(F.lit(1)).alias("c"), F.max("value").alias("upper"))
-    )
+    counted = bracketed.groupBy(
+        *group, "n", stretch.alias("stretch"), F.when(inside, x).alias("exact")
+    ).agg(F.count(F.lit(1)).alias("c"), F.max("value").alias("upper"))
     running = Window.partitionBy(*group).orderBy("upper")
     ranked = counted.withColumn("upto", F.sum("c").over(running))
     low = [F.floor((F.col("n") - 1) * p) for p in probs]
@@ -124,7 +125,7 @@ def trim_within(df: DataFrame, col: str, prob: float, by: Sequence[str], digits:
     limits = exact_quantiles(df, [col], [prob], by).select(
         *by, F.round("quantile", digits).alias("__limit")
     )
-    kept = df.join(materialise(limits, "limits"), list(by))
+    kept = lookup_join(df, materialise(limits, "limits"), by, "inner")
     return kept.filter(F.col(col) <= F.col("__limit")).select(*df.columns)
 
 

@@ -43,6 +43,11 @@ def last_day_scored(spark, sf):
     return quality.last_day_scored(log, COURSE, "id_student", "date", "score")
 
 
+def last_day_rows(spark, sf):
+    log = v.event_days(spark, sf).select("event_id", "code_presentation", "date")
+    return quality.last_day_rows(log, ["code_presentation"], "date")
+
+
 def score_order_check(spark, sf):
     return quality.score_order_check(v.clicks(spark, sf), v.SESSION, "date", "score")
 
@@ -57,7 +62,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         multi_assessment_days, inactive_submissions, score_coverage, scored_semi, unscored_ids,
-        last_day_scored, score_order_check, entity_timeline,
+        last_day_scored, last_day_rows, score_order_check, entity_timeline,
     )
 }
 
@@ -92,6 +97,10 @@ s AS (SELECT DISTINCT id_student, code_module, code_presentation FROM c WHERE sc
 SELECT event_id, id_student, code_module, code_presentation, date, score
 FROM c JOIN l USING (code_module, code_presentation) JOIN s USING (id_student, code_module, code_presentation)
 WHERE date = last_day""",
+    "last_day_rows": f"""
+SELECT event_id, code_presentation, date FROM ({v.EVENT_DAYS}) JOIN (
+  SELECT code_presentation, max(date) AS last FROM ({v.EVENT_DAYS}) GROUP BY 1) USING (code_presentation)
+WHERE date = last""",
     "score_order_check": f"""
 SELECT *, COALESCE(last_unscored_day < first_scored_day, TRUE) AS unscored_precede_scored FROM (
   SELECT id_student, code_module, code_presentation,

@@ -147,3 +147,22 @@ def test_trim_within_group(spark):
     df = spark.createDataFrame(rows, "g string, x double")
     kept = quantiles.trim_within(df, "x", 0.5, ["g"])
     assert {(r.g, r.n) for r in kept.groupBy("g").agg(F.count("*").alias("n")).collect()} == {("a", 51), ("b", 51)}
+
+
+@pytest.mark.parametrize("limit", [0, 100_000])
+def test_lookup_join_both_ways(spark, hot, limit, monkeypatch):
+    _, df = hot
+    monkeypatch.setattr(joins, "BROADCAST_ROWS", limit)
+    first = df.groupBy("k").agg(F.min("day").alias("first"))
+    got = joins.group_lookup(df, first, ["k"])
+    assert records(got) == records(df.join(first, "k", "left").select(*got.columns))
+
+
+def test_spread_over_tasks_matches_the_share(spark, hot):
+    """A key with a third of the rows gets about a third of the parts."""
+    _, left = hot
+    right = spark.createDataFrame([(7, 1)], "k int, v int")
+    joined = joins.salted_join(left, right, ["k"], parts=30)
+    text = joined._jdf.queryExecution().optimizedPlan().toString()
+    assert "__salts" in text
+    assert joined.filter("v is not null").count() == sum(1 for r in left.collect() if r.k == 7)
