@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from itertools import combinations
+from itertools import combinations_with_replacement
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -90,27 +90,32 @@ def sparsity_profile(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     )
 
 
-def pearson(a: str, b: str) -> Column:
-    """Pairwise-complete Pearson r; null for a constant column."""
-    x, y = F.col(a).cast("double"), F.col(b).cast("double")
-    both = x.isNotNull() & y.isNotNull()
-    spread = F.stddev_pop(F.when(both, x)) * F.stddev_pop(F.when(both, y))
-    return F.covar_pop(x, y) / F.nullif(spread, F.lit(0.0))
-
-
 def correlation_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Full matrix in long form ``(row_name, col_name, r)``; every pair from one aggregate."""
+    """Pairwise-complete Pearson matrix in long form ``(row_name, col_name, r)``.
+
+    r is null when a column is constant or a pair has no complete row. Each row is exploded once
+    per column pair and combined in its task, so the plan stays the same size for 4 columns or 40
+    and the shuffle carries one partial result per pair and task.
+    """
     cols = list(cols)
-    pairs = list(combinations(cols, 2))
-    aggs = [pearson(a, b).alias(f"r{i}") for i, (a, b) in enumerate(pairs)]
-    aggs += [pearson(c, c).alias(f"d{i}") for i, c in enumerate(cols)]
-    entry = lambda a, b, r: F.struct(
-        F.lit(a).alias("row_name"), F.lit(b).alias("col_name"), F.round(F.col(r), 6).alias("r")
+    pairs = list(combinations_with_replacement(range(len(cols)), 2))
+    first = F.array(*[F.lit(i) for i, _ in pairs])
+    second = F.array(*[F.lit(j) for _, j in pairs])
+    values = df.select(F.array(*[F.col(c).cast("double") for c in cols]).alias("v"))
+    long = values.select("v", F.explode(F.sequence(F.lit(0), F.lit(len(pairs) - 1))).alias("pair"))
+    xy = long.select(
+        "pair", F.get("v", F.get(first, "pair")).alias("x"), F.get("v", F.get(second, "pair")).alias("y")
+    )
+    spread = F.stddev_pop("x") * F.stddev_pop("y")
+    r = F.covar_pop("x", "y") / F.nullif(spread, F.lit(0.0))
+    known = xy.filter(all_present(["x", "y"])).groupBy("pair").agg(F.round(r, 6).alias("r"))
+    every = df.sparkSession.range(len(pairs)).select(F.col("id").cast("int").alias("pair"))
+    names = F.array(*[F.lit(c) for c in cols])
+    a, b = F.get(names, F.get(first, "pair")), F.get(names, F.get(second, "pair"))
+    cell = lambda p, q: F.struct(p.alias("row_name"), q.alias("col_name"), F.col("r").alias("r"))
+    return every.join(known, "pair", "left").select(
+        F.inline(F.array_distinct(F.array(cell(a, b), cell(b, a))))
     )
-    cells = [entry(c, c, f"d{i}") for i, c in enumerate(cols)]
-    for i, (a, b) in enumerate(pairs):
-        cells += [entry(a, b, f"r{i}"), entry(b, a, f"r{i}")]
-    return df.agg(*aggs).select(F.inline(F.array(*cells)))
 
 
 def value_shares(df: DataFrame, cols: Sequence[str]) -> DataFrame:

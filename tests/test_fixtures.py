@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import pytest
 from conftest import records
 
@@ -83,6 +84,30 @@ def test_correlation_is_pairwise_and_survives_constants(spark):
     assert got["a", "c"] is None and got["c", "c"] is None and got["a", "a"] == 1.0
 
 
+def test_correlation_of_many_columns(spark):
+    rng = np.random.default_rng(0)
+    data = rng.normal(size=(200, 25))
+    names = [f"c{i}" for i in range(25)]
+    df = spark.createDataFrame([tuple(map(float, row)) for row in data], names)
+    got = {(r.row_name, r.col_name): r.r for r in profile.correlation_matrix(df, names).collect()}
+    want = np.corrcoef(data.T)
+    assert len(got) == 625
+    assert all(abs(got[names[i], names[j]] - want[i, j]) < 1e-6 for i in range(25) for j in range(25))
+
+
+def test_correlation_without_complete_rows(spark):
+    df = spark.createDataFrame([(1, None), (2, None), (None, 3)], "a int, b int")
+    got = {(r.row_name, r.col_name): r.r for r in profile.correlation_matrix(df, ["a", "b"]).collect()}
+    assert got == {("a", "a"): 1.0, ("a", "b"): None, ("b", "a"): None, ("b", "b"): None}
+
+
+def test_approximate_quantiles_return_members(spark):
+    df = spark.range(1, 1001).toDF("x")
+    got = {r.prob: r["quantile"] for r in quantiles.approximate_quantiles(df, ["x"], [0.25, 0.5]).collect()}
+    assert got == {0.25: 250.0, 0.5: 500.0}
+    assert profile.describe(df, ["x"], exact=False).first()["q50"] == 500.0
+
+
 def test_null_keys_and_all_null_sums(spark):
     df = spark.createDataFrame([("a", 1), ("a", None), ("b", None), (None, 4)], "k string, x int")
     assert records(features.session_snapshot(df, ["k"], ["x"], [])) == [("a", 1), ("b", 0)]
