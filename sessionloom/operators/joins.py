@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,15 +19,35 @@ MIN_PARTS = 200
 BROADCAST_ROWS = 100_000
 
 
-def outer_merge(left: DataFrame, right: DataFrame, keys: Sequence[str] | None = None) -> DataFrame:
-    """Full outer merge of two tables that are unique on the keys (natural keys by default)."""
-    return left.join(right, list(keys or shared_columns(left, right)), "full_outer")
+def _merge(left: DataFrame, right: DataFrame, keys: Sequence[str] | None, how: str, null_safe: bool) -> DataFrame:
+    keys = list(keys or shared_columns(left, right))
+    if not null_safe:
+        return left.join(right, keys, how)
+    other = right.withColumnsRenamed({k: f"__{k}" for k in keys})
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys])
+    return left.join(other, same, how).select(
+        *[F.coalesce(k, f"__{k}").alias(k) for k in keys],
+        *[c for c in left.columns if c not in keys],
+        *[c for c in right.columns if c not in keys],
+    )
+
 
+def outer_merge(
+    left: DataFrame, right: DataFrame, keys: Sequence[str] | None = None, null_safe: bool = False
+) -> DataFrame:
+    """Full outer merge of two tables that are unique on the keys (natural keys by default).
 
-def left_merge(left: DataFrame, right: DataFrame, keys: Sequence[str] | None = None) -> DataFrame:
+    With ``null_safe`` a missing key matches a missing key; otherwise it matches nothing.
+    """
+    return _merge(left, right, keys, "full_outer", null_safe)
+
+
+def left_merge(
+    left: DataFrame, right: DataFrame, keys: Sequence[str] | None = None, null_safe: bool = False
+) -> DataFrame:
     """Left merge on the natural keys. Catalyst broadcasts the right side when its size is below
     the threshold; otherwise AQE cuts a skewed left partition into several tasks."""
-    return left.join(right, list(keys or shared_columns(left, right)), "left")
+    return _merge(left, right, keys, "left", null_safe)
 
 
 def dimension_outer_merge(

@@ -22,8 +22,19 @@ def scratch_root(spark: SparkSession) -> str:
     return _local_dirs[0].name
 
 
+def _application_dir(spark: SparkSession) -> str:
+    return f"{scratch_root(spark)}/sessionloom-{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+    """A fresh folder below the application's own scratch folder."""
+    return f"{_application_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Drop the tables this application wrote to scratch, once their results have been used."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_application_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialise(df: DataFrame, label: str = "stage") -> DataFrame:

@@ -5,6 +5,7 @@ import math
 import numpy as np
 import pytest
 from conftest import records
+from pyspark.sql import functions as F
 
 from sessionloom.operators import features, histograms, joins, profile, quality, quantiles, ranking, shape
 
@@ -113,6 +114,19 @@ def test_null_keys_and_all_null_sums(spark):
     assert records(features.session_snapshot(df, ["k"], ["x"], [])) == [("a", 1), ("b", 0)]
 
 
+def test_null_safe_merge(spark):
+    df = spark.createDataFrame([("a", 1), ("a", None), ("b", None), (None, 4)], "k string, x int")
+    other = df.withColumnRenamed("x", "y")
+    inner = lambda how_null: joins.left_merge(df, other.withColumn("hit", F.lit(1)), ["k"], how_null).filter("hit = 1")
+    assert (inner(True).count(), inner(False).count()) == (6, 5)
+    outer = joins.outer_merge(
+        spark.createDataFrame([(None, 1)], "k string, x int"),
+        spark.createDataFrame([(None, 2), ("z", 3)], "k string, y int"),
+        null_safe=True,
+    )
+    assert records(outer) == [(None, 1, 2), ("z", None, 3)]
+
+
 def test_sparsity_counts_nulls_both_ways(spark):
     df = spark.createDataFrame([(0,), (0,), (1,), (None,)], "x int")
     r = profile.sparsity_profile(df, ["x"]).first()

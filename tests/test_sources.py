@@ -6,7 +6,7 @@ import pytest
 from conftest import records
 
 from sessionloom.functions.columns import chunk_of, hash_fraction, week_number
-from sessionloom.sources import files
+from sessionloom.sources import files, scratch
 from sessionloom.sources.schemas import ACTIVITIES, STUDENT_ATTRIBUTES, flat_schema
 from sessionloom.sources.scratch import materialise, scratch_root
 
@@ -87,6 +87,15 @@ def test_materialise_uses_the_configured_folder(spark):
     assert root.removeprefix("file:") in stored.inputFiles()[0]
 
 
+def test_clear_scratch_drops_only_this_application(spark, tmp_path, monkeypatch):
+    (tmp_path / "other").mkdir()
+    monkeypatch.setattr(scratch, "scratch_root", lambda spark: str(tmp_path))
+    scratch.materialise(spark.range(3))
+    assert len(list(tmp_path.iterdir())) == 2
+    scratch.clear_scratch(spark)
+    assert [p.name for p in tmp_path.iterdir()] == ["other"]
+
+
 def test_flat_schema():
     schema = flat_schema(ACTIVITIES)
     assert schema.names[:3] == ["id_student", "code_module", "code_presentation"]
