@@ -66,6 +66,19 @@ def test_equal_bins_constant_column(spark):
     assert (got[0].bin_lo, got[-1].bin_hi) == (2.5, 3.5)
 
 
+@pytest.mark.parametrize("bins", [1, 7, 10, 30])
+def test_histograms_equal_numpy(spark, bins):
+    rng = np.random.default_rng(bins)
+    columns = {"a": rng.normal(size=500), "b": rng.exponential(size=500) * 1e6, "c": rng.integers(0, 5, 500) * 1.0}
+    df = spark.createDataFrame([tuple(map(float, row)) for row in zip(*columns.values())], list(columns))
+    rows = histograms.histograms(df, list(columns), bins).collect()
+    for name, values in columns.items():
+        counts, edges = np.histogram(values, bins)
+        ours = {r.bin: r for r in rows if r.feature == name}
+        assert [ours[i].n for i in range(bins)] == counts.tolist()
+        assert all(ours[i].bin_lo == pytest.approx(edges[i], abs=1e-6) for i in range(bins))
+
+
 def test_describe(spark):
     df = spark.createDataFrame([(x,) for x in (0, 1, 1, 2, 10)], "x int")
     r = profile.describe(df, ["x"]).first()
