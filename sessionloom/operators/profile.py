@@ -9,38 +9,32 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sessionloom.functions.columns import all_present, any_null, percent
-from sessionloom.operators.quantiles import approximate_quantiles, exact_quantiles
+from sessionloom.operators.quantiles import approximate_quantiles, bracket_ranks, resolve_ranks
 from sessionloom.operators.shape import stack_row
+from sessionloom.sources.scratch import materialise
+
+
+QUARTILES = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
+MOMENTS = {"mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
 
 
 def describe(df: DataFrame, cols: Sequence[str], exact: bool = True) -> DataFrame:
-    """Count, mean, sample sd, min, quartiles and max per column, half-even to 6 digits."""
-    cols = list(cols)
-    moments = df.agg(
-        *[
-            f(F.col(c).cast("double")).alias(f"{c}__{name}")
-            for c in cols
-            for name, f in (
-                ("count", F.count),
-                ("mean", F.avg),
-                ("std", F.stddev_samp),
-                ("min", F.min),
-                ("max", F.max),
-            )
-        ]
+    """Count, mean, sample sd, min, quartiles and max per column, half-even to 6 digits.
+
+    The moments come from the same scan as the quartile brackets, so there are two scans in all.
+    ``exact=False`` takes the quartiles from a sketch instead.
+    """
+    cols, probs = list(cols), list(QUARTILES.values())
+    brackets = materialise(bracket_ranks(df, cols, probs, stats=MOMENTS), "brackets")
+    found = resolve_ranks(df, cols, probs, brackets) if exact else approximate_quantiles(df, cols, probs)
+    quartiles = found.groupBy("feature").agg(
+        *[F.max(F.when(F.col("prob") == p, F.col("quantile"))).alias(q) for q, p in QUARTILES.items()]
     )
-    types = {"count": "bigint", "mean": "double", "std": "double", "min": "double", "max": "double"}
-    basic = stack_row(moments, cols, types)
-    quartile = exact_quantiles if exact else approximate_quantiles
-    marks = quartile(df, cols, [0.25, 0.5, 0.75]).groupBy(F.col("feature").alias("column_name")).agg(
-        *[
-            F.max(F.when(F.col("prob") == p, F.col("quantile"))).alias(name)
-            for p, name in ((0.25, "q25"), (0.5, "q50"), (0.75, "q75"))
-        ]
+    joined = brackets.join(F.broadcast(quartiles), "feature", "left")  # one row per listed column
+    shown = ["mean", "std", "min", *QUARTILES, "max"]
+    return joined.select(
+        F.col("feature").alias("column_name"), F.col("n").alias("count"), *[F.bround(c, 6).alias(c) for c in shown]
     )
-    joined = basic.join(F.broadcast(marks), "column_name", "left")  # one row per listed column
-    stats = ["mean", "std", "min", "q25", "q50", "q75", "max"]
-    return joined.select("column_name", "count", *[F.bround(c, 6).alias(c) for c in stats])
 
 
 def missing_counts(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 from operator import add, or_
+from types import MappingProxyType
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,34 +34,58 @@ def exact_quantiles(
     8/accuracy per prob), and running counts over those groups give exact ranks. Groups of up to
     10 * accuracy rows skip the bracket. A rank outside its bracket raises, it never guesses.
     """
-    by, probs = list(by), sorted({float(p) for p in probs})
-    group, k = [*by, "feature"], len(probs)
-    df = df.filter(all_present(by)) if by else df
+    brackets = bracket_ranks(df, cols, probs, by, accuracy)
+    if by:
+        brackets = materialise(brackets, "brackets")
+    return resolve_ranks(df, cols, probs, brackets, by)
+
+
+def bracket_ranks(
+    df: DataFrame,
+    cols: Sequence[str],
+    probs: Sequence[float],
+    by: Sequence[str] = (),
+    accuracy: int = ACCURACY,
+    stats: Mapping[str, Callable[[Column], Column]] = MappingProxyType({}),
+) -> DataFrame:
+    """Pass 1: ``(by..., feature, n, lo, hi, stats...)``, value bounds around each sorted prob.
 
+    ``stats`` adds aggregates of each column, taken in the same scan.
+    """
+    by, probs = list(by), _sorted(probs)
+    df = df.filter(all_present(by)) if by else df
     margin = 4.0 / accuracy
     marks = [max(p - margin, 0.0) for p in probs] + [min(p + margin, 1.0) for p in probs]
-    sketches = df.groupBy(*by).agg(
-        *[
-            F.struct(
-                F.lit(c).alias("feature"),
-                F.count(c).alias("n"),
-                F.percentile_approx(F.col(c).cast("double"), marks, accuracy).alias("marks"),
-            ).alias(f"__{i}")
-            for i, c in enumerate(cols)
-        ]
-    )
-    flat = sketches.select(*by, F.inline(F.array(*[f"__{i}" for i in range(len(cols))])))
-    narrow = F.col("n") > 10 * accuracy
-    inf = F.lit(float("inf"))
-    brackets = flat.select(
-        *group,
+
+    def sketch(c: str) -> Column:
+        x = F.col(c).cast("double")
+        more = [f(x).alias(name) for name, f in stats.items()]
+        found = F.percentile_approx(x, marks, accuracy).alias("marks")
+        return F.struct(F.lit(c).alias("feature"), F.count(c).alias("n"), found, *more)
+
+    wide = df.groupBy(*by).agg(*[sketch(c).alias(f"__{i}") for i, c in enumerate(cols)])
+    long = wide.select(*by, F.inline(F.array(*[f"__{i}" for i in range(len(cols))])))
+    narrow, k, inf = F.col("n") > 10 * accuracy, len(probs), F.lit(float("inf"))
+    return long.select(
+        *by,
+        "feature",
         "n",
         F.when(narrow, F.slice("marks", 1, k)).otherwise(F.array_repeat(-inf, k)).alias("lo"),
         F.when(narrow, F.slice("marks", k + 1, k)).otherwise(F.array_repeat(inf, k)).alias("hi"),
+        *stats,
     )
-    data = unpivot_numeric(df, cols, by)
+
+
+def resolve_ranks(
+    df: DataFrame, cols: Sequence[str], probs: Sequence[float], brackets: DataFrame, by: Sequence[str] = ()
+) -> DataFrame:
+    """Pass 2: exact quantiles from the brackets. With ``by`` the brackets are a written table."""
+    by, probs = list(by), _sorted(probs)
+    group, k = [*by, "feature"], len(probs)
+    brackets = brackets.select(*group, "n", "lo", "hi")
+    data = unpivot_numeric(df.filter(all_present(by)) if by else df, cols, by)
     if by:
-        bracketed = lookup_join(data, materialise(brackets, "brackets"), group, "inner")
+        bracketed = lookup_join(data, brackets, group, "inner")
     else:
         bracketed = data.join(F.broadcast(brackets), "feature")  # one row per listed column
 
@@ -88,6 +113,10 @@ def exact_quantiles(
     return picks.select(*group, F.inline(F.array(*rows)))
 
 
+def _sorted(probs: Sequence[float]) -> list[float]:
+    return sorted({float(p) for p in probs})
+
+
 def _at_rank(rank: Column) -> Column:
     """First group, in value order, whose running count passes the 0-based rank."""
     return F.min(F.when(F.col("upto") > rank, F.struct("upper", "exact")))

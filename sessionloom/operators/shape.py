@@ -48,7 +48,7 @@ def pivot_sum(
     return (
         df.filter(all_present([*keys, level_col]))
         .groupBy(*keys)
-        .agg(*[zero_sum(F.when(F.col(level_col) == v, amount)).cast("bigint").alias(v) for v in levels])
+        .agg(*[zero_sum(F.when(F.col(level_col) == v, amount)).alias(v) for v in levels])
     )
 
 
