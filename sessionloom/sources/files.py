@@ -53,7 +53,23 @@ def _ddl(schema: T.StructType) -> str:
 
 
 def _zip_lines(names: Sequence[str], pattern: str):
-    """Batch function: archive bytes in, CSV lines of the matching members out."""
+    """Batch function: archive bytes in, CSV lines of the matching members out.
+
+    All of it is local, so a task needs nothing but the standard library and pandas.
+    """
+    expected = list(names)
+
+    def pack(text: Iterator[str], path: str, member: str) -> Iterator[pd.DataFrame]:
+        held: list[str] = []
+        for line in text:
+            line = line.rstrip("\r\n")
+            if line:
+                held.append(line)
+            if len(held) == LINES_PER_BATCH:
+                yield pd.DataFrame({"archive": path, "member": member, "line": held})
+                held = []
+        if held:
+            yield pd.DataFrame({"archive": path, "member": member, "line": held})
 
     def lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -65,26 +81,13 @@ def _zip_lines(names: Sequence[str], pattern: str):
                         with archive.open(member) as raw:
                             text = io.TextIOWrapper(raw, encoding="utf-8-sig", newline="")
                             header = next(csv.reader([next(text, "")]), [])
-                            if header != list(names):
-                                raise ValueError(f"{path}!{member}: header {header}, expected {list(names)}")
-                            yield from _line_batches(text, path, member)
+                            if header != expected:
+                                raise ValueError(f"{path}!{member}: header {header}, expected {expected}")
+                            yield from pack(text, path, member)
 
     return lines
 
 
-def _line_batches(text: Iterator[str], path: str, member: str) -> Iterator[pd.DataFrame]:
-    lines: list[str] = []
-    for line in text:
-        line = line.rstrip("\r\n")
-        if line:
-            lines.append(line)
-        if len(lines) == LINES_PER_BATCH:
-            yield pd.DataFrame({"archive": path, "member": member, "line": lines})
-            lines = []
-    if lines:
-        yield pd.DataFrame({"archive": path, "member": member, "line": lines})
-
-
 def read_zipped_csv(spark: SparkSession, path: str, schema: Schema, members: str = "*") -> DataFrame:
     """CSV members (chosen by file pattern) of every zip archive under ``path``.
 

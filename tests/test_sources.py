@@ -1,9 +1,13 @@
 """Readers and writers."""
 
+import os
+import subprocess
+import sys
 import zipfile
 
 import pytest
 from conftest import records
+from pyspark import cloudpickle
 
 from sessionloom.functions.columns import chunk_of, hash_fraction, week_number
 from sessionloom.sources import files, scratch
@@ -87,6 +91,14 @@ def test_materialise_uses_the_configured_folder(spark):
     assert root.removeprefix("file:") in stored.inputFiles()[0]
 
 
+def test_zip_task_code_needs_no_package(tmp_path):
+    """A worker that cannot import this package can still run the reader."""
+    (tmp_path / "f.pkl").write_bytes(cloudpickle.dumps(files._zip_lines(["id"], "*")))
+    code = "import pickle; assert callable(pickle.load(open('f.pkl', 'rb')))"
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, check=True)
+
+
 def test_clear_scratch_drops_only_this_application(spark, tmp_path, monkeypatch):
     (tmp_path / "other").mkdir()
     monkeypatch.setattr(scratch, "scratch_root", lambda spark: str(tmp_path))
