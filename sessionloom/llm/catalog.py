@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sessionloom.llm import bpe
+from sessionloom.llm import bpe, fingerprints, mixing
 from sessionloom.llm.tables import table, vocabulary
 
 
@@ -14,7 +14,17 @@ def op5_bpe_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+def op3_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_document_fingerprints": op3_document_fingerprints,
+    "op4_source_mix": op4_source_mix,
     "op5_bpe_tokens": op5_bpe_tokens,
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op4_source_mix": mixing.ORACLE, }

@@ -1,18 +1,24 @@
-"""Input tables of the registered queries, and the vocabulary path."""
+"""Input tables of the registered queries, word counts, and the vocabulary path."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+WHITE = r"[ \t-\r]+"  # ASCII white space, as all operators here split words
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def words_of(text: Column) -> Column:
-    """Words as all operators here count them: runs of anything but ASCII white space."""
-    return F.split(F.trim(F.translate(F.coalesce(text, F.lit("")), "\t\n\x0b\x0c\r", "     ")), " +")
+def words(text: Column) -> Column:
+    """The words of a text; none for null."""
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), WHITE), "")
+
+
+def count_words(text: Column) -> Column:
+    return F.size(words(text))
 
 
 def id_remainder(doc_id: Column, by: int) -> Column:
