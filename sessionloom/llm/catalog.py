@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sessionloom.llm import bpe, fingerprints, mixing
+from sessionloom.llm import bpe, dart_minhash, fingerprints, mixing
 from sessionloom.llm.tables import table, vocabulary
 
 
@@ -22,7 +22,12 @@ def op3_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint(table(spark, sf_dir, "documents"))
 
 
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dart_minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op9_near_duplicates": op9_near_duplicates,
     "op3_document_fingerprints": op3_document_fingerprints,
     "op4_source_mix": op4_source_mix,
     "op5_bpe_tokens": op5_bpe_tokens,
