@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sessionloom.llm import bpe, dart_minhash, fingerprints, mixing
+from sessionloom.llm import bpe, dart_minhash, fingerprints, mixing, toxicity
 from sessionloom.llm.tables import table, vocabulary
 
 
@@ -26,7 +26,12 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dart_minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxic_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op8_toxicity": op8_toxicity,
     "op9_near_duplicates": op9_near_duplicates,
     "op3_document_fingerprints": op3_document_fingerprints,
     "op4_source_mix": op4_source_mix,
