@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sessionloom.llm import bpe, dart_minhash, fingerprints, mixing, toxicity
+from sessionloom.llm import bpe, dart_minhash, fingerprints, mixing, pii, toxicity
 from sessionloom.llm.tables import table, vocabulary
 
 
@@ -30,7 +30,12 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxic_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op10_personal_data": op10_personal_data,
     "op8_toxicity": op8_toxicity,
     "op9_near_duplicates": op9_near_duplicates,
     "op3_document_fingerprints": op3_document_fingerprints,

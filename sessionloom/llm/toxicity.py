@@ -271,18 +271,29 @@ def _turn(toxic: Counter, clean: Counter) -> tuple[np.ndarray, float]:
     return train(words, label, cost * 100.0 * len(words))
 
 
-def fit(labelled: DataFrame, sample: int = SAMPLE, turns: int = 5, start: int = 400) -> Machine:
-    """Train on (doc_id, text, toxic): at most ``sample`` documents of each class, chosen by the md5 of doc_id.
+def fit(texts: DataFrame, labels: DataFrame, sample: int = SAMPLE, turns: int = 5, start: int = 400) -> Machine:
+    """Train on the texts (doc_id, text) that labels (doc_id, toxic) mark.
 
-    The driver holds one word and number per sampled document, and at most ``start`` toxic and ten times
-    as many clean words. With no toxic or no clean rows every score is 0, or 1.
+    At most ``sample`` documents of each class are used, chosen by the md5 of doc_id; their ids, at most
+    twice ``sample``, are broadcast to the texts. The driver holds one word and WORST numbers per sampled
+    document, and at most ``start`` toxic and 13 times as many clean words. Labels repeated for an id
+    count once, as toxic if any is. With no toxic or no clean document every score is near 0, or 1.
     """
-    known = labelled.filter("toxic in (0, 1)").select(
-        F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"),
-        F.col("toxic").cast("int").alias("toxic"), F.md5(F.col("doc_id").cast("string").cast("binary")).alias("__by"),
+    marks = (
+        labels.filter("toxic in (0, 1)")
+        .groupBy(F.col("doc_id").cast("bigint").alias("doc_id"))
+        .agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
+        .join(texts.select("doc_id"), "doc_id", "left_semi")
+        .withColumn("__by", F.md5(F.col("doc_id").cast("string").cast("binary")))
+    )
+    parts = [marks.filter(f"toxic = {c}").orderBy("__by", "doc_id").limit(sample) for c in (0, 1)]
+    chosen = materialise(parts[0].union(parts[1]).drop("__by"), "chosen")
+    drawn = materialise(
+        texts.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+        .join(F.broadcast(chosen), "doc_id")
+        .repartition(12, "doc_id"),
+        "labelled",
     )
-    parts = [known.filter(f"toxic = {c}").orderBy("__by", "doc_id").limit(sample) for c in (0, 1)]
-    drawn = materialise(parts[0].union(parts[1]).drop("__by").repartition(12, "doc_id"), "labelled")
     counts = {r.toxic: r["count"] for r in drawn.groupBy("toxic").count().collect()}
     n1, n0 = counts.get(1, 0), counts.get(0, 0)
     if not n1 or not n0:
@@ -314,7 +325,10 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, turns: int = 5, start: int =
 
 
 def score(docs: DataFrame, machine: Machine, name: str = "score") -> DataFrame:
-    """The rows with the probability that the text is toxic; a null text counts as empty."""
+    """The rows, all columns kept, with the probability that the text is toxic; a null text counts as empty.
+
+    ``name`` must be new: a table that has such a column is refused.
+    """
     shared = docs.sparkSession.sparkContext.broadcast((machine.table, machine.bias, machine.slope, machine.shift))
     columns = docs.columns
     if name in columns:
@@ -334,14 +348,11 @@ def toxic_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.7,
     """doc_id, held_out, score and predicted of every row.
 
     Labels are learnt from the rows whose crc32(doc_id) modulo 3 is not 1. A null doc_id is not held out
-    and has no label. Repeated rows are scored each; labels repeated for an id count once, as toxic if any is.
+    and has no label. Repeated rows are scored each.
     """
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    marks = labels.filter("toxic is not null").groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(
-        F.max("toxic").alias("toxic")
-    )
     held = F.coalesce(id_remainder(F.col("doc_id"), 3) == 1, F.lit(False))
-    machine = fit(texts.filter(~held).join(marks.filter(~held), "doc_id"), sample)
+    machine = fit(texts, labels.filter(~held), sample)
     slim = score(texts, machine).select("doc_id", "score")
     return slim.select(
         "doc_id", held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted")
