@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sessionloom.llm import bpe, dart_minhash, fingerprints, mixing, pii, toxicity
+from sessionloom.llm import bpe, dart_minhash, fingerprints, mixing, pii, toxicity, warc
 from sessionloom.llm.tables import table, vocabulary
 
 
@@ -34,7 +34,12 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(table(spark, sf_dir, "documents"))
 
 
+def op1_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc_round_trip": op1_warc_round_trip,
     "op10_personal_data": op10_personal_data,
     "op8_toxicity": op8_toxicity,
     "op9_near_duplicates": op9_near_duplicates,
