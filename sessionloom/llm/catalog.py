@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sessionloom.llm import bpe, dart_minhash, fingerprints, mixing, pii, toxicity, warc
+from sessionloom.llm import bpe, dart_minhash, embedding_dedup, fingerprints, mixing, pii, toxicity, warc
 from sessionloom.llm.tables import table, vocabulary
 
 
@@ -38,7 +38,12 @@ def op1_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op2_embedding_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_embedding_duplicates": op2_embedding_duplicates,
     "op1_warc_round_trip": op1_warc_round_trip,
     "op10_personal_data": op10_personal_data,
     "op8_toxicity": op8_toxicity,
