@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sessionloom.llm import bpe, dart_minhash, embedding_dedup, fingerprints, mixing, pii, toxicity, warc
+from sessionloom.llm import bpe, dart_minhash, embedding_dedup, fingerprints, mixing, passages, pii, toxicity, warc
 from sessionloom.llm.tables import table, vocabulary
 
 
@@ -42,7 +42,12 @@ def op2_embedding_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op6_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op6_repeated_passages": op6_repeated_passages,
     "op2_embedding_duplicates": op2_embedding_duplicates,
     "op1_warc_round_trip": op1_warc_round_trip,
     "op10_personal_data": op10_personal_data,
