@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sessionloom.llm import bpe, dart_minhash, embedding_dedup, fingerprints, mixing, passages, pii, toxicity, warc
+from sessionloom.llm import bpe, dart_minhash, embedding_dedup, fingerprints, language_model, mixing, passages, pii, toxicity, warc
 from sessionloom.llm.tables import table, vocabulary
 
 
@@ -46,7 +46,12 @@ def op6_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.repeated_passages(table(spark, sf_dir, "documents"))
 
 
+def op7_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score_texts(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op7_language_model": op7_language_model,
     "op6_repeated_passages": op6_repeated_passages,
     "op2_embedding_duplicates": op2_embedding_duplicates,
     "op1_warc_round_trip": op1_warc_round_trip,
