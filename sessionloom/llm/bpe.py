@@ -72,6 +72,7 @@ class Automaton:
         self.parts: list[tuple[int, int] | None] = [None] * size
         self.made = [-1] * size
         self.removed: list[dict[int, int]] = [{} for _ in range(size)]
+        self.gone: set[int] = set()
         self.arcs: dict[int, bool] = {}
         self.size = size
         for time, (u, v) in enumerate(merges):
@@ -83,6 +84,8 @@ class Automaton:
             raise ValueError(f"two merges make {self.label[w]!r}")
         if self._follows(u, v):
             self.removed[u][v] = time
+        else:  # no path goes u v any more, so no arc carries w
+            self.gone.add(w)
         self.parts[w] = (u, v)
         self.made[w] = time
 
@@ -101,6 +104,8 @@ class Automaton:
 
     def _follows(self, state: int, token: int) -> bool:
         """An arc for a merged token was added only where its left part's arc still existed."""
+        if token in self.gone or state in self.gone:
+            return False
         until = None
         while True:
             time = self._lost(state, token)
@@ -114,7 +119,7 @@ class Automaton:
 
     def step(self, state: int, token: int) -> bool:
         if state == self.START:
-            return True
+            return token not in self.gone
         key = state * self.size + token
         known = self.arcs.get(key)
         if known is None:

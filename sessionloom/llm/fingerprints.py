@@ -66,7 +66,7 @@ def likeness(a: Column, b: Column) -> Column:
 
 def hex_form(signature: Column, components: int = COMPONENTS) -> Column:
     parts = [F.element_at(signature, k + 1) for k in range(components)]
-    return F.coalesce(F.format_string("%08x" * components, *parts), F.lit(""))
+    return F.when(signature.isNotNull(), F.format_string("%08x" * components, *parts)).otherwise("")
 
 
 def _neighbours(ids: DataFrame) -> DataFrame:
