@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 SLICE_BYTES = 1 << 21  # text handled at once; a longer text is a slice of its own
 _SEED = np.random.default_rng(20240229)
@@ -29,9 +30,8 @@ def uniform(x: np.ndarray) -> np.ndarray:
 
 def slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBatch]:
     """Cut a batch into runs of whole texts of about SLICE_BYTES."""
-    at = batch.schema.get_field_index(column)
-    sizes = np.array([len(v) if v is not None else 0 for v in batch.column(at).cast(pa.large_binary()).to_pylist()])
-    group = np.cumsum(sizes) // SLICE_BYTES
+    sizes = pc.binary_length(batch.column(batch.schema.get_field_index(column))).fill_null(0)
+    group = np.cumsum(sizes.to_numpy(zero_copy_only=False).astype(np.int64)) // SLICE_BYTES
     for g in np.unique(group):
         rows = np.flatnonzero(group == g)
         yield batch.slice(rows[0], len(rows))
