@@ -6,9 +6,11 @@ t / (its total weight), about t of them whatever its length; each dart falls on
 the earliest dart of a coordinate is its sample. Two texts share a sample with the probability of
 their weighted Jaccard similarity. Bands of samples propose pairs, and shared text decides them.
 
-Within a band the texts are compared with one of them, the one that shares most bands. Only pairs that
-this leaves in different components are then compared with one another: a group of copies costs
-one comparison per copy, and no link between different groups is lost.
+Within a band the texts are compared with one of them, the one that shares most bands: a group of copies
+costs one comparison per copy. Bands whose texts this leaves in different components are open: every pair of
+theirs that shares an open band and no component is compared too, so no link between groups is lost.
+These texts are dealt, by the clusters that open bands make, to tasks of bounded size, which return one link
+per pair of groups they join and never the pairs they looked at.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,7 +31,9 @@ SHINGLE = 5
 BANDS = 25
 ROWS = 5
 LIKE = 0.8
+BLOCK = 1024  # texts of a side of a comparison task
 _DART = np.uint64(0xD6E8FEB86659FD93)
+_NONE = np.uint64(2**64 - 1)
 
 
 def _regions(weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -40,8 +45,12 @@ def _regions(weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def dart_samples(keys: np.ndarray, weights: np.ndarray, text: np.ndarray, n: int, k: int) -> np.ndarray:
-    """Signatures (n, k) of weighted elements (64-bit key, weight > 0, number of the text); 0 if none."""
-    out = np.zeros((n, k), np.uint64)
+    """Signatures (n, k) of weighted elements (64-bit key, weight > 0, number of the text).
+
+    A sample is the rank of the earliest dart of the coordinate and 32 bits of its hash.
+    """
+    out = np.full((n, k), _NONE)
+    flat = out.reshape(-1)
     total = np.bincount(text, weights, n)
     aim = np.full(n, k * (np.log(k) + 2.0))
     element, unit, part = _regions(weights)
@@ -53,7 +62,7 @@ def dart_samples(keys: np.ndarray, weights: np.ndarray, text: np.ndarray, n: int
         live = np.flatnonzero(open_[owner])
         c, t, p = cell[live], owner[live], part[live]
         rank = np.zeros(len(live))
-        throw, found = 0, []
+        throw = 0
         while len(c):
             h = hashing.mix(c + np.uint64((2 * throw + 1) * int(_DART) % 2**64))
             rank = rank - np.log(hashing.uniform(h))
@@ -61,14 +70,12 @@ def dart_samples(keys: np.ndarray, weights: np.ndarray, text: np.ndarray, n: int
             c, t, p, rank, h = c[keep], t[keep], p[keep], rank[keep], h[keep]
             g = hashing.mix(h ^ _DART)
             hit = hashing.uniform(hashing.mix(g)) < p
-            found.append((rank[hit], t[hit] * k + (g[hit] % np.uint64(k)).astype(np.int64), g[hit]))
+            at = t[hit] * k + (g[hit] % np.uint64(k)).astype(np.int64)
+            early = rank[hit].astype(np.float32).view(np.uint32).astype(np.uint64) << np.uint64(32)
+            np.minimum.at(flat, at, early | (g[hit] >> np.uint64(32)))  # rank first: the earliest dart stays
             throw += 1
-        ranks, place, dart = (np.concatenate(x) for x in zip(*found, strict=True))
-        late = np.argsort(-ranks, kind="stable")
-        flat = out.reshape(-1)
-        flat[place[late]] = dart[late] | np.uint64(1)  # the earliest is written last
-        open_ &= (out == 0).any(axis=1)
-        out[open_] = 0
+        open_ &= (out == _NONE).any(axis=1)
+        out[open_] = _NONE
         aim = np.where(open_, aim * 2, aim)
     return out
 
@@ -123,13 +130,98 @@ def _shared_text(pairs: DataFrame, texts: DataFrame, like: float, shingle: int)
     return pairs.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a bigint, b bigint")
 
 
+def _deal(left: DataFrame, block: int) -> DataFrame:
+    """(id, component, bands, key, side): each text in the tasks where it meets the others of its cluster.
+
+    A cluster of up to ``block`` texts is in one task with other such clusters; a larger one is cut in blocks
+    and each pair of blocks is a task.
+    """
+    hubs = left.groupBy("band").agg(F.min("id").alias("hub"))
+    edges = left.select("band", "id").join(hubs, "band").select(F.col("id").alias("a"), F.col("hub").alias("b"))
+    clusters = materialise(components(edges).withColumnRenamed("component", "cluster"), "clusters")
+    sizes = clusters.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks"))
+    bins = max(1, clusters.count() * 2 // block)
+    rows = left.groupBy("id", "component").agg(F.collect_list("band").alias("bands"))
+    placed = rows.join(clusters, "id").join(sizes, "cluster")
+    own = F.pmod(F.xxhash64("id"), F.col("blocks"))
+    bin_ = F.pmod(F.xxhash64("cluster"), F.lit(bins))
+    small = F.array(F.struct(F.concat(F.lit("s"), bin_).alias("key"), F.lit(0).alias("side")))
+    pairs = F.transform(
+        F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1),
+        lambda x: F.struct(
+            F.concat_ws(":", "cluster", F.least(x, own), F.greatest(x, own)).alias("key"),
+            F.when(x == own, 0).when(own < x, 1).otherwise(2).alias("side"),
+        ),
+    )
+    return placed.select("id", "component", "bands", F.inline(F.when(F.col("blocks") == 1, small).otherwise(pairs)))
+
+
+def _compare(like: float, shingle: int):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Links between components of the task's texts: side 0 with itself, or side 1 with side 2."""
+        found, made = hashing.shingles(*hashing.words(pa.array(pdf["text"])), shingle)
+        text = np.repeat(np.arange(len(pdf)), made)
+        kinds, kind = np.unique(found, return_inverse=True)
+        order = np.lexsort((kind, text))
+        kind, text = kind[order], text[order]
+        new = np.ones(len(kind), bool)
+        new[1:] = (kind[1:] != kind[:-1]) | (text[1:] != text[:-1])
+        at = np.flatnonzero(new)
+        times = np.diff(np.append(at, len(kind)))
+        kind, starts = kind[at], np.searchsorted(text[at], np.arange(len(pdf) + 1))
+        side = pdf["side"].to_numpy()
+        group = np.unique(pdf["component"], return_inverse=True)[1]
+        band = np.concatenate(pdf["bands"].to_numpy())
+        member = np.repeat(np.arange(len(pdf)), pdf["bands"].map(len))
+        order = np.argsort(band, kind="stable")
+        member, edge = member[order], np.flatnonzero(np.diff(band[order], prepend=band[order][:1] - 1))
+        groups = np.split(member, edge[1:]) if len(edge) else []
+        of = [[] for _ in range(len(pdf))]
+        for g in groups:
+            for x in g:
+                of[x].append(g)
+        dense = np.zeros(len(kinds), np.int64)
+        links = []
+        for x in range(len(pdf)):
+            if not of[x] or side[x] == 2:
+                continue
+            y = np.unique(np.concatenate(of[x]))
+            y = y[(y > x) if side[x] == 0 else (side[y] == 2)]
+            y = y[group[y] != group[x]]
+            small, large = np.minimum(made[y], made[x]), np.maximum(made[y], made[x])
+            y = y[small >= like * large]
+            if not len(y):
+                continue
+            mine = slice(starts[x], starts[x + 1])
+            dense[kind[mine]] = times[mine]
+            length = starts[y + 1] - starts[y]
+            inner = np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length)
+            place = np.repeat(starts[y], length) + inner
+            both = np.add.reduceat(np.minimum(dense[kind[place]], times[place]), np.cumsum(length) - length)
+            dense[kind[mine]] = 0
+            near = y[both >= like * (made[x] + made[y] - both)]
+            for other in near:
+                if group[other] != group[x]:
+                    links.append((x, other))
+                    group[group == group[other]] = group[x]
+        ids = pdf["id"].to_numpy()
+        return pd.DataFrame([(max(ids[x], ids[y]), min(ids[x], ids[y])) for x, y in links], columns=["a", "b"], dtype="int64")
+
+    return run
+
+
+def _across(left: DataFrame, texts: DataFrame, like: float, shingle: int, block: int = BLOCK) -> DataFrame:
+    dealt = _deal(left, block).join(texts, "id")
+    return dealt.groupBy("key").applyInPandas(_compare(like, shingle), "a bigint, b bigint")
+
+
 def near_duplicates(
     docs: DataFrame, bands: int = BANDS, rows: int = ROWS, like: float = LIKE, shingle: int = SHINGLE
 ) -> DataFrame:
     """(doc_id, class_id, n_links, kept): one row per doc_id; a class is what links reach, named by its smallest id.
 
     Texts link when their five-word shingles, counted, have a Jaccard similarity of at least ``like``; a
-    text of one to four words is one shingle. ``n_links`` counts the links that were compared, not all
+    text of one to four words is one shingle. ``n_links`` counts the links found on the way, not all
     pairs of a class. Texts without words (null, empty, blank) link with nothing. Rows with a null
     doc_id are left out; rows that share a doc_id count as one document, with the smallest of their texts.
     """
@@ -157,11 +249,8 @@ def near_duplicates(
     open_bands = (
         member.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
     )
-    left = materialise(member.join(open_bands.select("band"), "band").filter("id <> centre"), "left")
-    other = left.select("band", F.col("id").alias("other"), F.col("component").alias("other_component"))
-    cross = left.join(other, "band").filter("id > other and component <> other_component")
-    more = cross.select(F.col("id").alias("a"), F.col("other").alias("b")).distinct()
-    late = materialise(_shared_text(more, texts, like, shingle), "linked")
+    left = materialise(member.join(open_bands.select("band"), "band").select("band", "id", "component"), "left")
+    late = materialise(_across(left, texts, like, shingle), "linked")
     every = links.union(late).distinct()
     classes = components(every)
     degree = every.select("a").union(every.select("b")).groupBy(F.col("a").alias("id")).agg(F.count(F.lit(1)).alias("n"))
