@@ -16,6 +16,12 @@ def as_column(c: ColumnLike) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def number(c: ColumnLike) -> Column:
+    """The value as a double; NaN counts as missing, as no table here means anything by it."""
+    x = as_column(c).cast("double")
+    return F.when(~F.isnan(x), x)
+
+
 def row_sum(cols: Sequence[str]) -> Column:
     """Sum across columns, a missing value counting as 0."""
     return reduce(add, [F.coalesce(F.col(c), F.lit(0)) for c in cols])
@@ -62,8 +68,9 @@ def code_label(code: ColumnLike, labels: Mapping[int, str]) -> Column:
 
 
 def hash_fraction(key: ColumnLike, seed: int) -> Column:
-    """Value in [0, 1) fixed by (seed, key): a split that a re-run task repeats exactly."""
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), as_column(key).cast("string")))
+    """Value in [0, 1) fixed by (seed, key): a split that a re-run task repeats exactly. A null key
+    is a key of its own."""
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(as_column(key).cast("string"), F.lit("\0"))))
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") / F.lit(4294967296.0)
 
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sessionloom.functions.columns import all_present, bin_of, edge_bin_of
+from sessionloom.functions.columns import all_present, bin_of, edge_bin_of, number
 from sessionloom.operators.joins import lookup_join
 from sessionloom.operators.quantiles import trim
 from sessionloom.operators.shape import unpivot_numeric
@@ -76,8 +76,8 @@ def _bin_counts(
             *on,
             *split,
             "bin",
-            F.round(F.col("lo") + F.col("bin") * width, 6).alias("bin_lo"),
-            F.round(F.col("lo") + (F.col("bin") + 1) * width, 6).alias("bin_hi"),
+            (F.col("lo") + F.col("bin") * width).alias("bin_lo"),
+            (F.col("lo") + (F.col("bin") + 1) * width).alias("bin_hi"),
             "n",
         )
     )
@@ -125,9 +125,10 @@ def density_curve(df: DataFrame, value: str, points: int = 100) -> DataFrame:
     """Gaussian kernel density on an even grid from min to max, bandwidth sd * n^(-1/5).
 
     Equal values collapse to (value, count) first, so the kernel is evaluated per distinct value;
-    partial sums then leave one row per grid point and task.
+    partial sums then leave one row per grid point and task. A column without spread (constant, or
+    one value) has density 1 at its value, which is the whole grid.
     """
-    x = F.col(value).cast("double")
+    x = number(value)
     shape = df.agg(
         F.struct(
             F.count(x).alias("n"),
@@ -138,7 +139,7 @@ def density_curve(df: DataFrame, value: str, points: int = 100) -> DataFrame:
     ).scalar()
     counted = df.select(x.alias("x")).dropna().groupBy("x").agg(F.count(F.lit(1)).alias("c"))
     at = F.col("s.lo") + F.col("point") * (F.col("s.hi") - F.col("s.lo")) / float(points - 1)
-    z = (at - F.col("x")) / F.col("s.h")
+    z = F.try_divide(at - F.col("x"), F.col("s.h"))
     grid = F.explode(F.sequence(F.lit(0), F.lit(points - 1)))
     sums = (
         counted.withColumn("s", shape)
@@ -147,9 +148,9 @@ def density_curve(df: DataFrame, value: str, points: int = 100) -> DataFrame:
         .agg(F.sum(F.col("c") * F.exp(z * z * -0.5)).alias("k"))
     )
     norm = F.col("s.n") * F.col("s.h") * F.sqrt(F.lit(2.0) * F.pi())
-    return sums.withColumn("s", shape).select(
-        "point", F.round(at, 6).alias("x"), F.round(F.col("k") / norm, 9).alias("density")
-    )
+    flat = F.coalesce(F.col("s.h"), F.lit(0.0)) == 0
+    density = F.when(flat, F.lit(1.0)).otherwise(F.try_divide("k", norm))
+    return sums.withColumn("s", shape).select("point", at.alias("x"), density.alias("density"))
 
 
 def pair_bins(

@@ -15,8 +15,6 @@ from sessionloom.sources.scratch import materialise
 
 # Lower bound on the number of parts a skewed side is cut into.
 MIN_PARTS = 200
-# Rows up to which a counted per-group table is broadcast (a few MB of keys and statistics).
-BROADCAST_ROWS = 100_000
 
 
 def _merge(left: DataFrame, right: DataFrame, keys: Sequence[str] | None, how: str, null_safe: bool) -> DataFrame:
@@ -104,11 +102,10 @@ def salted_join(
 
 
 def lookup_join(df: DataFrame, stored: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
-    """Join a written per-group table onto the rows: broadcast when its row count is within
-    ``BROADCAST_ROWS`` (counted from the file footers), salted shuffle join beyond that."""
-    if stored.count() <= BROADCAST_ROWS:
-        return df.join(F.broadcast(stored), list(keys), how)
-    return salted_join(df, stored, keys, how)
+    """Join a written per-group table onto the rows. Its size is known from the files, so Catalyst
+    broadcasts it below ``spark.sql.autoBroadcastJoinThreshold``; above it both sides are plain
+    shuffles and AQE splits a hot key. No job is started here."""
+    return df.join(stored, list(keys), how)
 
 
 def group_lookup(df: DataFrame, stats: DataFrame, keys: Sequence[str]) -> DataFrame:

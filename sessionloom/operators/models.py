@@ -17,7 +17,8 @@ from sessionloom.sources.scratch import materialise
 
 
 def holdout(df: DataFrame, key: str, test_share: float, seed: int) -> DataFrame:
-    """Adds ``is_test``. The draw depends on (seed, key) only: no shuffle, repeatable on retry."""
+    """Adds ``is_test``. The draw depends on (seed, key) only: no shuffle, repeatable on retry. Rows
+    without a key are on one side together."""
     return df.withColumn("is_test", hash_fraction(key, seed) < F.lit(test_share))
 
 
@@ -36,7 +37,7 @@ def standardise(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 def most_frequent(train: DataFrame, label: str):
     """Most frequent label of the training rows (smallest on a tie), as a scalar subquery."""
     counts = train.filter(all_present([label])).groupBy(label).agg(F.count(F.lit(1)).alias("n"))
-    return counts.agg(F.max_by(label, F.struct(F.col("n"), -F.col(label)))).scalar()
+    return counts.agg(F.min_by(label, F.struct(-F.col("n"), F.col(label)))).scalar()
 
 
 def accuracy(scored: DataFrame, label: str, prediction: str = "prediction") -> DataFrame:
@@ -47,7 +48,7 @@ def accuracy(scored: DataFrame, label: str, prediction: str = "prediction") -> D
 def majority_accuracy(df: DataFrame, label: str) -> DataFrame:
     """Accuracy on the test rows of always predicting the training majority class."""
     test = df.filter("is_test").withColumn("prediction", most_frequent(df.filter(~F.col("is_test")), label))
-    return accuracy(test, label).select("n_test", F.round("accuracy", 6).alias("accuracy"))
+    return accuracy(test, label).select("n_test", "accuracy")
 
 
 def assemble(df: DataFrame, features: Sequence[str], keep: Sequence[str]) -> DataFrame:

@@ -19,7 +19,7 @@ MOMENTS = {"mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
 
 
 def describe(df: DataFrame, cols: Sequence[str], exact: bool = True) -> DataFrame:
-    """Count, mean, sample sd, min, quartiles and max per column, half-even to 6 digits.
+    """Count, mean, sample sd, min, quartiles and max per column, not rounded; NaN counts as missing.
 
     The moments come from the same scan as the quartile brackets, so there are two scans in all.
     ``exact=False`` takes the quartiles from a sketch instead.
@@ -33,7 +33,7 @@ def describe(df: DataFrame, cols: Sequence[str], exact: bool = True) -> DataFram
     joined = brackets.join(F.broadcast(quartiles), "feature", "left")  # one row per listed column
     shown = ["mean", "std", "min", *QUARTILES, "max"]
     return joined.select(
-        F.col("feature").alias("column_name"), F.col("n").alias("count"), *[F.bround(c, 6).alias(c) for c in shown]
+        F.col("feature").alias("column_name"), F.col("n").alias("count"), *shown
     )
 
 
@@ -68,7 +68,7 @@ def sparsity_profile(df: DataFrame, cols: Sequence[str]) -> DataFrame:
         extra[f"{c}__nonzero_or_null"] = either
         extra[f"{c}__pct_zero"] = percent(zero, non_null)
         extra[f"{c}__pct_nonzero"] = percent(either, non_null)
-        extra[f"{c}__zero_share_of_rows"] = F.round(F.try_divide(zero, F.col("__rows")), 6)
+        extra[f"{c}__zero_share_of_rows"] = F.try_divide(zero, F.col("__rows"))
     return stack_row(
         row.withColumns(extra),
         cols,
@@ -102,7 +102,7 @@ def correlation_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     )
     spread = F.stddev_pop("x") * F.stddev_pop("y")
     r = F.covar_pop("x", "y") / F.nullif(spread, F.lit(0.0))
-    known = xy.filter(all_present(["x", "y"])).groupBy("pair").agg(F.round(r, 6).alias("r"))
+    known = xy.filter(all_present(["x", "y"])).groupBy("pair").agg(r.alias("r"))
     every = df.sparkSession.range(len(pairs)).select(F.col("id").cast("int").alias("pair"))
     names = F.array(*[F.lit(c) for c in cols])
     a, b = F.get(names, F.get(first, "pair")), F.get(names, F.get(second, "pair"))
@@ -125,7 +125,7 @@ def value_shares(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     )
     totals = counts.groupBy("variable").agg(F.sum("n").alias("total"))
     shares = counts.join(F.broadcast(totals), "variable")  # one row per listed column
-    share = F.round(F.col("n") / F.col("total"), 6).alias("share")
+    share = (F.col("n") / F.col("total")).alias("share")
     return shares.select("variable", "value", "n", share).orderBy("variable", F.desc("n"), "value")
 
 
@@ -140,7 +140,7 @@ def attribute_variability(df: DataFrame, entity: Sequence[str], cols: Sequence[s
     values = text.unpivot(list(entity), cols, "variable", "value").filter(F.col("value").isNotNull())
     per_entity = values.distinct().groupBy(*entity, "variable").agg(F.count(F.lit(1)).alias("distinct_values"))
     return per_entity.groupBy("variable").agg(
-        F.count(F.lit(1)).alias("entities"), F.round(F.avg("distinct_values"), 6).alias("mean_distinct")
+        F.count(F.lit(1)).alias("entities"), F.avg("distinct_values").alias("mean_distinct")
     )
 
 

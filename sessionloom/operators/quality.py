@@ -28,8 +28,14 @@ def score_coverage(df: DataFrame, session: Sequence[str], entity: str, day: str,
 
     Rows collapse per entity first, so a session holding most of the log is combined in parts.
     """
+    return session_coverage(entity_coverage(df, [*session, entity], day, score), session)
+
+
+def entity_coverage(df: DataFrame, keys: Sequence[str], day: str, score: str) -> DataFrame:
+    """The part of ``score_coverage`` that reads the log, one row per key. Session attributes that the
+    log lacks are joined to this, not to the log, so a hot entity is one row in that join."""
     scored_day = F.when(F.col(score).isNotNull(), F.col(day))
-    per_entity = df.filter(all_present([*session, entity])).groupBy(*session, entity).agg(
+    return df.filter(all_present(list(keys))).groupBy(*keys).agg(
         F.count(F.lit(1)).alias("rows"),
         F.count(score).alias("scored"),
         F.min(day).alias("lo"),
@@ -37,7 +43,10 @@ def score_coverage(df: DataFrame, session: Sequence[str], entity: str, day: str,
         F.min(scored_day).alias("s_lo"),
         F.max(scored_day).alias("s_hi"),
     )
-    return per_entity.groupBy(*session).agg(
+
+
+def session_coverage(per_entity: DataFrame, session: Sequence[str]) -> DataFrame:
+    return per_entity.filter(all_present(list(session))).groupBy(*session).agg(
         F.sum("rows").alias("all_rows"),
         F.sum("scored").alias("scored_rows"),
         F.count(F.lit(1)).alias("entities"),
@@ -114,7 +123,7 @@ def score_order_check(df: DataFrame, keys: Sequence[str], day: str, score: str)
 def busiest_entity(df: DataFrame, key: str):
     """Key with the most rows (smallest key on a tie), as a scalar subquery."""
     counts = df.filter(all_present([key])).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    return counts.agg(F.max_by(key, F.struct(F.col("n"), -F.col(key)))).scalar()
+    return counts.agg(F.min_by(key, F.struct(-F.col("n"), F.col(key)))).scalar()
 
 
 def entity_timeline(df: DataFrame, key: str, value, order_by: Sequence[str]) -> DataFrame:

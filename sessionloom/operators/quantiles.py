@@ -10,7 +10,7 @@ from types import MappingProxyType
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sessionloom.functions.columns import all_present
+from sessionloom.functions.columns import all_present, number
 from sessionloom.operators.joins import lookup_join
 from sessionloom.operators.shape import unpivot_numeric
 from sessionloom.sources.scratch import materialise
@@ -58,10 +58,10 @@ def bracket_ranks(
     marks = [max(p - margin, 0.0) for p in probs] + [min(p + margin, 1.0) for p in probs]
 
     def sketch(c: str) -> Column:
-        x = F.col(c).cast("double")
+        x = number(c)
         more = [f(x).alias(name) for name, f in stats.items()]
         found = F.percentile_approx(x, marks, accuracy).alias("marks")
-        return F.struct(F.lit(c).alias("feature"), F.count(c).alias("n"), found, *more)
+        return F.struct(F.lit(c).alias("feature"), F.count(x).alias("n"), found, *more)
 
     wide = df.groupBy(*by).agg(*[sketch(c).alias(f"__{i}") for i, c in enumerate(cols)])
     long = wide.select(*by, F.inline(F.array(*[f"__{i}" for i in range(len(cols))])))
@@ -122,13 +122,9 @@ def _at_rank(rank: Column) -> Column:
     return F.min(F.when(F.col("upto") > rank, F.struct("upper", "exact")))
 
 
-def quantile_scalar(df: DataFrame, col: str, prob: float, digits: int = 6) -> Column:
-    """One global quantile as an uncorrelated scalar subquery.
-
-    Rounding sits inside the subquery, so a filter on the bare column can reach the file scan.
-    """
-    marks = exact_quantiles(df, [col], [prob])
-    return marks.select(F.round("quantile", digits)).scalar()
+def quantile_scalar(df: DataFrame, col: str, prob: float) -> Column:
+    """One global quantile as an uncorrelated scalar subquery."""
+    return exact_quantiles(df, [col], [prob]).select("quantile").scalar()
 
 
 def approximate_quantiles(
@@ -143,23 +139,21 @@ def approximate_quantiles(
     return sketch.select("feature", F.inline(F.array(*rows)))
 
 
-def trim(df: DataFrame, col: str, prob: float, side: str = "upper", digits: int = 6) -> DataFrame:
-    """Rows at or below (``upper``) or at or above (``lower``) the global quantile."""
-    limit = quantile_scalar(df, col, prob, digits)
+def trim(df: DataFrame, col: str, prob: float, side: str = "upper") -> DataFrame:
+    """Rows at or below (``upper``) or at or above (``lower``) the global quantile, which is not rounded."""
+    limit = quantile_scalar(df, col, prob)
     return df.filter(F.col(col) <= limit) if side == "upper" else df.filter(F.col(col) >= limit)
 
 
-def trim_within(df: DataFrame, col: str, prob: float, by: Sequence[str], digits: int = 6) -> DataFrame:
+def trim_within(df: DataFrame, col: str, prob: float, by: Sequence[str]) -> DataFrame:
     """Rows at or below the quantile of their own group."""
-    limits = exact_quantiles(df, [col], [prob], by).select(
-        *by, F.round("quantile", digits).alias("__limit")
-    )
+    limits = exact_quantiles(df, [col], [prob], by).select(*by, F.col("quantile").alias("__limit"))
     kept = lookup_join(df, materialise(limits, "limits"), by, "inner")
     return kept.filter(F.col(col) <= F.col("__limit")).select(*df.columns)
 
 
-def band(df: DataFrame, col: str, low: float, high: float, digits: int = 6) -> DataFrame:
-    """Rows strictly between two global quantiles."""
-    both = exact_quantiles(df, [col], [low, high]).select(F.round("quantile", digits).alias("q"))
-    lo, hi = both.agg(F.min("q")).scalar(), both.agg(F.max("q")).scalar()
-    return df.filter((F.col(col) > lo) & (F.col(col) < hi))
+def band(df: DataFrame, col: str, low: float, high: float) -> DataFrame:
+    """Rows strictly between two global quantiles, both taken from one subquery."""
+    both = exact_quantiles(df, [col], [low, high])
+    limits = both.agg(F.struct(F.min("quantile").alias("lo"), F.max("quantile").alias("hi"))).scalar()
+    return df.filter((F.col(col) > limits["lo"]) & (F.col(col) < limits["hi"]))

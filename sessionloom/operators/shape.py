@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sessionloom.functions.columns import all_present, zero_sum
+from sessionloom.functions.columns import all_present, number, zero_sum
 
 
 def shared_columns(left: DataFrame, right: DataFrame) -> list[str]:
@@ -36,25 +36,60 @@ def first_non_null(df: DataFrame, target: str, other: str) -> DataFrame:
 
 
 def pivot_sum(
-    df: DataFrame, keys: Sequence[str], level_col: str, amount: str | Column, levels: Sequence[str]
+    df: DataFrame,
+    keys: Sequence[str],
+    level_col: str,
+    amount: str | Column,
+    levels: Sequence[str],
+    other: str | None = None,
 ) -> DataFrame:
     """One row per key, one summed column per level, 0 where a level is absent.
 
-    The level list is fixed, so a level nobody used still gets its column and no pass over the
-    data is needed to find the levels. Conditional sums keep it to a single shuffle with partial
-    sums on the map side. Rows with a null key or level are left out.
+    The level list is given (``levels_of`` takes it from a small table), so a level nobody used still
+    gets its column. Conditional sums keep it to a single shuffle with partial sums on the map side.
+    Rows with a null key are left out. ``other`` names a column that gathers the amounts of unlisted and
+    null levels. Without it rows with a null level are left out as well, and unlisted amounts are in no
+    column; ``pivot_loss`` counts what such a pivot does not show.
     """
     amount = F.col(amount) if isinstance(amount, str) else amount
+    listed = F.coalesce(F.col(level_col).isin(*levels), F.lit(False))
+    rest = [] if other is None else [zero_sum(F.when(~listed, amount)).alias(other)]
     return (
-        df.filter(all_present([*keys, level_col]))
+        df.filter(all_present([*keys, *([level_col] if other is None else [])]))
         .groupBy(*keys)
-        .agg(*[zero_sum(F.when(F.col(level_col) == v, amount)).alias(v) for v in levels])
+        .agg(*[zero_sum(F.when(F.col(level_col) == v, amount)).alias(v) for v in levels], *rest)
     )
 
 
+def levels_of(df: DataFrame, level_col: str, most: int = 1000) -> list[str]:
+    """The distinct values of a column of a small table, such as the site table; more than ``most`` raise."""
+    rows = df.select(level_col).filter(F.col(level_col).isNotNull()).distinct().limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"{level_col} has more than {most} values")
+    return sorted(r[0] for r in rows)
+
+
+def pivot_loss(
+    df: DataFrame, keys: Sequence[str], level_col: str, amount: str | Column, levels: Sequence[str]
+) -> DataFrame:
+    """One row: amounts in all, in listed levels, in unlisted ones, without a level and without a key."""
+    amount = F.col(amount) if isinstance(amount, str) else amount
+    keyed = all_present(list(keys))
+    known = F.col(level_col).isNotNull()
+    listed = F.coalesce(F.col(level_col).isin(*levels), F.lit(False))
+    parts = {
+        "total": F.lit(True),
+        "listed": keyed & listed,
+        "unlisted": keyed & known & ~listed,
+        "no_level": keyed & ~known,
+        "no_key": ~keyed,
+    }
+    return df.agg(*[zero_sum(F.when(test, amount)).alias(name) for name, test in parts.items()])
+
+
 def unpivot_numeric(df: DataFrame, cols: Sequence[str], ids: Sequence[str] = ()) -> DataFrame:
-    """Long form ``(ids..., feature, value double)`` without null values."""
-    wide = df.select(*ids, *[F.col(c).cast("double").alias(c) for c in cols])
+    """Long form ``(ids..., feature, value double)`` without null or NaN values."""
+    wide = df.select(*ids, *[number(c).alias(c) for c in cols])
     return wide.unpivot(list(ids), list(cols), "feature", "value").filter(F.col("value").isNotNull())
 
 

@@ -31,6 +31,12 @@ def majority_baseline(spark, sf):
     return models.majority_accuracy(holdout_split(spark, sf), "quality")
 
 
+def majority_text(spark, sf):
+    """The majority baseline on a text label."""
+    orders = v.table(spark, sf, "orders").select("o_orderkey", "o_orderstatus")
+    return models.majority_accuracy(models.holdout(orders, "o_orderkey", 0.2, SEED), "o_orderstatus")
+
+
 def stratified_folds(spark, sf):
     return ranking.stratified_folds(v.table(spark, sf, "labels"), "quality", "doc_id", 5)
 
@@ -65,7 +71,8 @@ def model_cv(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        standardize, holdout_split, majority_baseline, stratified_folds, majority_cv, logistic_holdout,
+        v.display(majority_baseline, {"accuracy": 6}), v.display(majority_text, {"accuracy": 6}),
+        standardize, holdout_split, stratified_folds, majority_cv, logistic_holdout,
         forest_holdout, snapshot_holdout, model_cv,
     )
 }
@@ -77,6 +84,12 @@ _FOLDS = """
 SELECT *, CAST(ntile(5) OVER (PARTITION BY quality ORDER BY doc_id) - 1 AS INTEGER) AS fold FROM labels"""
 
 ORACLE = {
+    "majority_text": f"""
+WITH s AS (SELECT o_orderstatus, CAST(('0x' || substr(md5('{SEED}:' || o_orderkey), 1, 8)) AS BIGINT) / 4294967296.0::DOUBLE
+                  < 0.2::DOUBLE AS is_test FROM orders),
+m AS (SELECT o_orderstatus FROM s WHERE NOT is_test GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)
+SELECT count(*) AS n_test, round(avg(CASE WHEN s.o_orderstatus = m.o_orderstatus THEN 1.0::DOUBLE ELSE 0 END), 6) AS accuracy
+FROM s, m WHERE is_test""",
     "standardize": "SELECT l_orderkey, l_linenumber, "
     + ", ".join(
         f"round((l.{c} - s.m_{c}) / COALESCE(nullif(s.s_{c}, 0), 1), 6) AS {c}" for c in MEASURES

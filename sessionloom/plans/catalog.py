@@ -14,9 +14,10 @@ from sessionloom.plans import (
     profiles,
     quality,
     round_trips,
+    star,
 )
 
-_MODULES = (merges, features, profiles, distributions, quality, round_trips, baselines)
+_MODULES = (merges, features, profiles, distributions, quality, round_trips, baselines, star)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     name: query for module in _MODULES for name, query in module.QUERIES.items()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
 
 from sessionloom.operators import features, histograms, shape
 from sessionloom.plans import stand_ins as v
@@ -80,12 +81,23 @@ def fill_first_non_null(spark, sf):
     return shape.first_non_null(lines, "l_discount", "l_tax")
 
 
+def density_constant(spark, sf):
+    parts = v.table(spark, sf, "part").withColumn("level", F.col("p_size") * 0 + 3)
+    return histograms.density_curve(parts, "level")
+
+
+_BINNED = (
+    hist_equal_bins, hist_multi_feature, session_histograms, hist_nonzero, hist_by_class, hist_trimmed_class,
+    hist_tail_common, hist_trimmed_facets, hist_days_by_presentation,
+)
+
 QUERIES = {
     f.__name__: f
     for f in (
-        hist_fixed_edges, hist_equal_bins, hist_multi_feature, session_histograms, hist_nonzero, hist_2d, hist_by_class,
-        hist_trimmed_class, hist_tail_common, hist_trimmed_facets, hist_days_by_presentation,
-        day_range_by_group, density_curve, pair_bins, fill_first_non_null,
+        *[v.display(q, {"bin_lo": 6, "bin_hi": 6}) for q in _BINNED],
+        v.display(density_curve, {"x": 6, "density": 9}),
+        density_constant,
+        hist_fixed_edges, hist_2d, day_range_by_group, pair_bins, fill_first_non_null,
     )
 }
 
@@ -125,8 +137,8 @@ FROM spine LEFT JOIN c USING ({all_keys}, bin)"""
 
 
 _SIZES = ", ".join(f"({i}, {lo}::DOUBLE, {hi}::DOUBLE)" for i, (lo, hi) in enumerate(zip(SIZE_EDGES, SIZE_EDGES[1:])))
-_TRIMMED = "o_totalprice <= (SELECT round(quantile_cont(o_totalprice, 0.98), 6) FROM orders)"
-_TAIL = "o_totalprice >= (SELECT round(quantile_cont(o_totalprice, 0.75), 6) FROM orders)"
+_TRIMMED = "o_totalprice <= (SELECT quantile_cont(o_totalprice, 0.98) FROM orders)"
+_TAIL = "o_totalprice >= (SELECT quantile_cont(o_totalprice, 0.75) FROM orders)"
 _TOTAL = " + ".join(v.ACTIVITY)
 
 ORACLE = {
@@ -155,7 +167,7 @@ LEFT JOIN c ON c.x_bin = x AND c.y_bin = y""",
     ),
     "hist_trimmed_facets": histogram_sql(
         f"""SELECT 'view' AS feature, CAST("view" AS DOUBLE) AS value, code_module, code_presentation FROM ({v.SESSIONS})
-WHERE "view" <= (SELECT round(quantile_cont(CAST("view" AS DOUBLE), 0.95), 6) FROM ({v.SESSIONS}))""",
+WHERE "view" <= (SELECT quantile_cont(CAST("view" AS DOUBLE), 0.95) FROM ({v.SESSIONS}))""",
         10,
         ["code_module", "code_presentation"],
     ),
@@ -172,6 +184,8 @@ g AS (SELECT CAST(i AS INTEGER) AS point, lo + i * (hi - lo) / 99.0::DOUBLE AS g
 SELECT point, round(gx, 6) AS x,
        round(sum(exp(-0.5::DOUBLE * pow((gx - x) / h, 2))) / (n * h * sqrt(2.0::DOUBLE * pi())), 9) AS density
 FROM g, src GROUP BY point, gx, n, h""",
+    "density_constant": """
+SELECT CAST(i AS INTEGER) AS point, 3.0::DOUBLE AS x, 1.0::DOUBLE AS density FROM range(100) t(i) WHERE EXISTS (FROM part)""",
     "pair_bins": """
 WITH x AS (SELECT min(l_extendedprice) AS pl, max(l_extendedprice) AS ph, min(l_tax) AS tl, max(l_tax) AS th FROM lineitem),
 b AS (SELECT l_returnflag, CAST(l_quantity AS DOUBLE) AS q, CAST(l_linenumber AS DOUBLE) AS ln,

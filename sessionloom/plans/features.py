@@ -87,11 +87,29 @@ def cast_map(spark, sf):
     )
 
 
+LISTED = [a for a in v.ACTIVITY if a != "signup"]
+
+
+def pivot_other(spark, sf):
+    """The daily pivot with one event type left off the list and gathered in a column of its own."""
+    return shape.pivot_sum(
+        v.event_days(spark, sf), ["id_student", "date"], "activity_type", "sum_click", LISTED, "other"
+    )
+
+
+def pivot_loss(spark, sf):
+    return shape.pivot_loss(v.event_days(spark, sf), ["id_student", "date"], "activity_type", "sum_click", LISTED)
+
+
+DESCRIBED = dict.fromkeys(("mean", "std", "min", "q25", "q50", "q75", "max"), 6)
+
 QUERIES = {
     f.__name__: f
     for f in (
-        session_snapshot, total_interactions, week_index, day_rebase, gap_cv, gap_std,
-        weekly_consistency, regularity_correlation, label_decode, cast_map,
+        v.display(total_interactions, DESCRIBED, even=True),
+        v.display(regularity_correlation, {"r": 6}),
+        session_snapshot, week_index, day_rebase, gap_cv, gap_std, weekly_consistency, label_decode, cast_map,
+        pivot_other, pivot_loss,
     )
 }
 
@@ -141,7 +159,21 @@ def describe_sql(source: str, cols: list[str]) -> str:
 
 _TOTAL = " + ".join(v.ACTIVITY)
 
+_LISTED = ", ".join(f"'{a}'" for a in LISTED)
+
 ORACLE = {
+    "pivot_other": f"""
+SELECT id_student, date,
+       {", ".join(f"CAST(sum(CASE WHEN activity_type = '{a}' THEN sum_click ELSE 0 END) AS BIGINT) AS {a}" for a in LISTED)},
+       CAST(sum(CASE WHEN activity_type IN ({_LISTED}) THEN 0 ELSE sum_click END) AS BIGINT) AS other
+FROM ({v.EVENT_DAYS}) GROUP BY id_student, date""",
+    "pivot_loss": f"""
+SELECT CAST(sum(sum_click) AS BIGINT) AS total,
+       CAST(sum(CASE WHEN activity_type IN ({_LISTED}) THEN sum_click ELSE 0 END) AS BIGINT) AS listed,
+       CAST(sum(CASE WHEN activity_type NOT IN ({_LISTED}) THEN sum_click ELSE 0 END) AS BIGINT) AS unlisted,
+       CAST(sum(CASE WHEN activity_type IS NULL THEN sum_click ELSE 0 END) AS BIGINT) AS no_level,
+       CAST(sum(CASE WHEN id_student IS NULL OR date IS NULL THEN sum_click ELSE 0 END) AS BIGINT) AS no_key
+FROM ({v.EVENT_DAYS})""",
     "session_snapshot": f"SELECT * REPLACE ({', '.join(f'round({a}, 6) AS {a}' for a in v.ATTRIBUTES)}) FROM ({v.SESSIONS})",
     "total_interactions": describe_sql(
         f"SELECT {_TOTAL} AS total_interactions FROM ({v.SESSIONS})", ["total_interactions"]

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sessionloom.operators import profile, quantiles, ranking, shape
+from sessionloom.operators import joins, profile, quantiles, ranking, shape
 from sessionloom.plans import stand_ins as v
-from sessionloom.plans.features import correlation_sql, describe_sql
+from sessionloom.plans.features import DESCRIBED, correlation_sql, describe_sql
 
 MEASURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 SHARE_COLS = ["o_orderstatus", "o_orderpriority"]
@@ -92,7 +92,8 @@ def grouped_counts(spark, sf):
 
 
 def distinct_tuples(spark, sf):
-    return v.clicks(spark, sf).select(*v.SESSION).distinct()
+    seen = v.event_days(spark, sf).select("id_student", "code_presentation").distinct()
+    return joins.left_merge(seen, v.students(spark, sf).select("id_student", "code_module")).select(*v.SESSION).distinct()
 
 
 def distinct_days(spark, sf):
@@ -137,6 +138,12 @@ def quantile_trim_class(spark, sf):
     return quantiles.trim_within(orders, "o_totalprice", 0.98, ["o_orderstatus"])
 
 
+def quantile_trim_small(spark, sf):
+    """The trim on a column of tiny values; the 0.985 quantile falls between two orders."""
+    orders = v.table(spark, sf, "orders").select("o_orderkey", (F.col("o_totalprice") * 1e-12).alias("tiny"))
+    return quantiles.trim(orders, "tiny", 0.985).select("o_orderkey")
+
+
 def quantile_band(spark, sf):
     orders = v.table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
     return quantiles.band(orders, "o_totalprice", 0.05, 0.95)
@@ -145,8 +152,12 @@ def quantile_band(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        describe_numeric, missing_counts, sparsity_profile, schema_profile, correlation_matrix,
-        snapshot_correlation, value_shares, unique_entity_shares, session_sparsity, attribute_variability, incomplete_entities, first_per_entity,
+        v.display(describe_numeric, DESCRIBED, even=True),
+        *[v.display(q, {"zero_share_of_rows": 6}) for q in (sparsity_profile, session_sparsity)],
+        *[v.display(q, {"r": 6}) for q in (correlation_matrix, snapshot_correlation)],
+        *[v.display(q, {"share": 6}) for q in (value_shares, unique_entity_shares)],
+        v.display(attribute_variability, {"mean_distinct": 6}),
+        missing_counts, schema_profile, incomplete_entities, first_per_entity, quantile_trim_small,
         contingency_dense, session_contingency, stacked_counts, grouped_counts, distinct_tuples,
         distinct_days, chunked_sort, numbered_orders, head_rows, sample_rows, quantile_table,
         quantile_by_class, quantile_trim, quantile_trim_class, quantile_band,
@@ -255,13 +266,16 @@ SELECT o_orderkey, o_orderstatus, o_totalprice,
     ),
     "quantile_trim": """
 SELECT o_orderkey, o_totalprice FROM orders
-WHERE o_totalprice <= (SELECT round(quantile_cont(o_totalprice, 0.98), 6) FROM orders)""",
+WHERE o_totalprice <= (SELECT quantile_cont(o_totalprice, 0.98) FROM orders)""",
+    "quantile_trim_small": """
+WITH src AS (SELECT o_orderkey, o_totalprice * 1e-12::DOUBLE AS tiny FROM orders)
+SELECT o_orderkey FROM src WHERE tiny <= (SELECT quantile_cont(tiny, 0.985) FROM src)""",
     "quantile_trim_class": """
 SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders JOIN (
-  SELECT o_orderstatus, round(quantile_cont(o_totalprice, 0.98), 6) AS lim FROM orders GROUP BY 1) USING (o_orderstatus)
+  SELECT o_orderstatus, quantile_cont(o_totalprice, 0.98) AS lim FROM orders GROUP BY 1) USING (o_orderstatus)
 WHERE o_totalprice <= lim""",
     "quantile_band": """
 SELECT o_orderkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders
-WHERE o_totalprice > (SELECT round(quantile_cont(o_totalprice, 0.05), 6) FROM orders)
-  AND o_totalprice < (SELECT round(quantile_cont(o_totalprice, 0.95), 6) FROM orders)""",
+WHERE o_totalprice > (SELECT quantile_cont(o_totalprice, 0.05) FROM orders)
+  AND o_totalprice < (SELECT quantile_cont(o_totalprice, 0.95) FROM orders)""",
 }

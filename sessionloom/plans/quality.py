@@ -20,8 +20,13 @@ def inactive_submissions(spark, sf):
     return quality.inactive_submissions(merges.activity_assessment_merge(spark, sf), v.ACTIVITY, "score")
 
 
+def _modules(spark, sf):
+    return v.students(spark, sf).select("id_student", "code_module")
+
+
 def score_coverage(spark, sf):
-    return quality.score_coverage(v.clicks(spark, sf), COURSE, "id_student", "date", "score")
+    log = quality.entity_coverage(v.event_days(spark, sf), ["id_student", "code_presentation"], "date", "score")
+    return quality.session_coverage(joins.left_merge(log, _modules(spark, sf)), COURSE)
 
 
 def scored_semi(spark, sf):
@@ -49,7 +54,8 @@ def last_day_rows(spark, sf):
 
 
 def score_order_check(spark, sf):
-    return quality.score_order_check(v.clicks(spark, sf), v.SESSION, "date", "score")
+    order = quality.score_order_check(v.event_days(spark, sf), ["id_student", "code_presentation"], "date", "score")
+    return joins.left_merge(order, _modules(spark, sf)).filter("code_module is not null")
 
 
 def entity_timeline(spark, sf):

@@ -19,6 +19,17 @@ SESSION = ["id_student", "code_module", "code_presentation"]
 ATTRIBUTES = ["balance", "region", "final_result"]
 
 
+def display(query, digits: dict[str, int], even: bool = False):
+    """The query with columns rounded for comparison; operators themselves do not round."""
+
+    def shown(spark: SparkSession, sf_dir: str) -> DataFrame:
+        half = F.bround if even else F.round
+        return query(spark, sf_dir).withColumns({c: half(c, n) for c, n in digits.items()})
+
+    shown.__name__ = query.__name__
+    return shown
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -22,8 +22,9 @@ def read_csv(spark: SparkSession, path: str, schema: Schema, null_tokens: Sequen
     """CSV with a header, columns matched to the declared schema by name.
 
     Only the first line is looked at to learn the column order; no inference pass. A file whose
-    header differs from that order makes the read fail instead of shifting columns. Extra null
-    spellings need the text first, so the columns are then read as strings and cast.
+    header differs from that order makes the read fail instead of shifting columns, and so does a value
+    that its type cannot hold or a row of the wrong length. NaN is read as null. Extra null spellings
+    need the text first, so the columns are then read as strings and cast.
     """
     target = _struct(schema)
     types = {f.name: T.StringType() if null_tokens else f.dataType for f in target}
@@ -32,9 +33,9 @@ def read_csv(spark: SparkSession, path: str, schema: Schema, null_tokens: Sequen
     if missing:
         raise ValueError(f"{path} has no column {', '.join(missing)}")
     in_file = T.StructType([T.StructField(c, types.get(c, T.StringType())) for c in header])
-    raw = spark.read.schema(in_file).option("header", True).option("enforceSchema", False).csv(path)
+    raw = spark.read.schema(in_file).options(header=True, enforceSchema=False, mode="FAILFAST").csv(path)
     if not null_tokens:
-        return raw.select(*target.names)
+        return raw.select(*[_known(f) for f in target])
     keep = lambda c: F.when(~F.col(c).isin(*null_tokens), F.col(c))
     return raw.select(*[keep(f.name).cast(f.dataType).alias(f.name) for f in target])
 
@@ -44,6 +45,12 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 
 
+def _known(field: T.StructField) -> Column:
+    """The column, NaN as null."""
+    c = F.col(field.name)
+    return F.when(~F.isnan(c), c).alias(field.name) if isinstance(field.dataType, (T.DoubleType, T.FloatType)) else c
+
+
 def _struct(schema: Schema) -> T.StructType:
     return T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
 
@@ -63,6 +70,8 @@ def _zip_lines(names: Sequence[str], pattern: str):
         held: list[str] = []
         for line in text:
             line = line.rstrip("\r\n")
+            if line.count('"') % 2:
+                raise ValueError(f"{path}!{member}: a quoted field spans lines: {line[:80]}")
             if line:
                 held.append(line)
             if len(held) == LINES_PER_BATCH:
@@ -100,8 +109,9 @@ def read_zipped_csv(spark: SparkSession, path: str, schema: Schema, members: str
     lines = files.select("path", "content").mapInPandas(
         _zip_lines(target.names, members), "archive string, member string, line string"
     )
-    row = F.from_csv("line", _ddl(target)).alias("row")
-    return lines.select("archive", "member", row).select("archive", "member", "row.*")
+    row = F.from_csv("line", _ddl(target), {"mode": "FAILFAST"}).alias("row")
+    parsed = lines.select("archive", "member", row).select("archive", "member", "row.*")
+    return parsed.select("archive", "member", *[_known(f) for f in target])
 
 
 def write_partitioned(

@@ -4,9 +4,10 @@ import pytest
 
 import __spark_entry__ as entry_module
 from oracle import compare, duck
+from sessionloom.plans import catalog
 
-QUERIES = entry_module.queries()
-ORACLE = entry_module.oracle_sql()
+QUERIES = catalog.QUERIES
+ORACLE = catalog.ORACLE
 SLOW = {"logistic_holdout", "forest_holdout", "snapshot_holdout", "model_cv"}
 
 
@@ -25,6 +26,11 @@ def test_only_models_lack_sql():
     assert set(ORACLE) <= set(QUERIES)
 
 
+def test_entry_offers_all():
+    assert QUERIES.items() <= entry_module.queries().items()
+    assert ORACLE.items() <= entry_module.oracle_sql().items()
+
+
 def test_entry_runs(spark):
     df = entry_module.entry(spark)
     assert df.count() > 0

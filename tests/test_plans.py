@@ -2,9 +2,9 @@
 
 import pytest
 
-import __spark_entry__ as entry_module
+from sessionloom.plans import catalog
 
-QUERIES = entry_module.queries()
+QUERIES = catalog.QUERIES
 MODELS = {"logistic_holdout", "forest_holdout", "snapshot_holdout", "model_cv", "majority_cv"}
 
 

@@ -164,10 +164,15 @@ def test_trim_within_group(spark):
     assert {(r.g, r.n) for r in kept.groupBy("g").agg(F.count("*").alias("n")).collect()} == {("a", 51), ("b", 51)}
 
 
-@pytest.mark.parametrize("limit", [0, 100_000])
-def test_lookup_join_both_ways(spark, hot, limit, monkeypatch):
+@pytest.mark.parametrize("limit", ["-1", "10m"])
+def test_lookup_join_both_ways(spark, hot, limit):
     _, df = hot
-    monkeypatch.setattr(joins, "BROADCAST_ROWS", limit)
     first = df.groupBy("k").agg(F.min("day").alias("first"))
-    got = joins.group_lookup(df, first, ["k"])
-    assert records(got) == records(df.join(first, "k", "left").select(*got.columns))
+    want = records(df.join(first, "k", "left").select(*df.columns, "first"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    try:
+        got = joins.group_lookup(df, first, ["k"])
+        assert records(got.select(*df.columns, "first")) == want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
