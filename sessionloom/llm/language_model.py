@@ -31,6 +31,7 @@ CHUNK = 2_000_000  # tokens of a chunk, and keys of a range; a longer text is a
 BUCKETS = 16  # context frequency buckets, doubling
 _FINE = 4  # cells per doubling in the counts that the weights are learnt from
 _LEVELS = 256  # cells per probability; level 0 is probability 0
+_BLOCK = 1 << 17  # tokens that are computed at once, which bounds the arrays of a task
 _END = np.uint64(0x9D5E3C1B7A2F4E81)
 _START = np.uint64(0x5B8A1F3E7C9D2461)
 _PAIR = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -113,18 +114,18 @@ class _Chunk:
         self.held_out = np.array([is_held_out(i) for i in self.ids], bool)
         self.words = np.append(np.frombuffer(row.words, np.uint64), _END)  # the end is the last word
         n = int(sizes.sum()) + len(sizes)
-        self.text = np.repeat(np.arange(len(sizes)), sizes + 1)
+        self.text = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes + 1)
         self.last = np.cumsum(sizes + 1) - 1
-        self.word = np.full(n, len(self.words) - 1, np.int64)
+        self.word = np.full(n, len(self.words) - 1, np.int32)
         inside = np.ones(n, bool)
         inside[self.last] = False
         self.word[inside] = _unpack(row.places, np.uint32)
-        before = np.empty(n, np.uint64)
-        before[1:] = self.words[self.word[:-1]]
-        self.first = self.last - sizes
-        before[self.first] = _START
-        keys = hashing.mix(hashing.mix(before * _PAIR) + self.words[self.word])
-        self.pairs, self.pair = np.unique(keys, return_inverse=True)
+        self.previous = np.roll(self.word, 1)  # the end of another text before a text's first word
+        keys = self.words[self.previous]
+        keys[self.last - sizes] = _START
+        keys = hashing.mix(hashing.mix(keys * _PAIR) + self.words[self.word])
+        self.pairs, pair = np.unique(keys, return_inverse=True)
+        self.pair = pair.reshape(-1).astype(np.int32)
         self.sizes = sizes
         self.train = ~self.held_out[self.text]
 
@@ -168,7 +169,7 @@ def _answer(pdf: pd.DataFrame) -> pd.DataFrame:
     keys = [np.cumsum(_unpack(k, np.uint64), dtype=np.uint64) for k in pdf["keys"]]
     counts = np.concatenate([_unpack(c, np.uint32) for c in pdf["counts"]])
     _, place = np.unique(np.concatenate(keys), return_inverse=True)
-    total = np.bincount(place, counts).astype(np.uint32)
+    total = np.bincount(place, counts).astype(np.int64)
     answers = np.split(total[place], np.cumsum([len(k) for k in keys])[:-1])
     kind, part = pdf["kind"].iloc[0], int(pdf["part"].iloc[0])
     rows = [(kind, part, c, _pack(a), 0) for c, a in zip(pdf["chunk"], answers, strict=True)]
@@ -180,33 +181,31 @@ class _Facts:
     """A chunk with the corpus counts of its tokens."""
 
     def __init__(self, row, answers: pd.DataFrame, train_texts: int):
-        self.chunk = c = _Chunk(row)
+        self.chunk = _Chunk(row)
         answers = answers.sort_values("part")
-        found = {
-            kind: np.concatenate([_unpack(a, np.uint32) for a in answers["answer"][answers["kind"] == kind]] or [np.zeros(0, np.uint32)])
-            for kind in ("w", "p")
-        }
-        word = np.append(found["w"], train_texts).astype(np.int64)
-        self.both = found["p"].astype(np.int64)[c.pair]
-        self.word = word[c.word]
-        self.context = np.empty_like(self.word)
-        self.context[1:] = self.word[:-1]
-        self.context[c.first] = train_texts
-
-    def without_own(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Counts of bigram, context and word for training tokens, less those of the token's own text."""
+        self.pairs, words = (
+            np.concatenate([_unpack(a, np.int64) for a in answers["answer"][answers["kind"] == kind]] or [np.zeros(0, np.int64)])
+            for kind in ("p", "w")
+        )
+        self.words = np.append(words, train_texts)  # an end is the last word, and as frequent as a start
+
+    def blocks(self) -> Iterator[tuple[slice, np.ndarray, np.ndarray, np.ndarray]]:
+        """Places of some tokens, and the corpus counts of their bigrams, contexts and words."""
         c = self.chunk
+        for a in range(0, len(c.word), _BLOCK):
+            at = slice(a, a + _BLOCK)
+            yield at, self.pairs[c.pair[at]], self.words[c.previous[at]], self.words[c.word[at]]
 
-        def own(key: np.ndarray, spread: int) -> np.ndarray:
-            _, back, times = np.unique(c.text * np.int64(spread) + key, return_inverse=True, return_counts=True)
-            return times[back]
+    def own(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """How often the bigram, context and word of each token come in its own text."""
+        c = self.chunk
 
-        pair, word = own(c.pair, len(c.pairs)), own(c.word, len(c.words))
-        context = np.empty_like(word)
-        context[1:] = word[:-1]
-        context[c.first] = 1
-        t = c.train
-        return (self.both - pair)[t], (self.context - context)[t], (self.word - word)[t]
+        def times(key: np.ndarray, spread: int) -> np.ndarray:
+            _, back, n = np.unique(c.text.astype(np.int64) * spread + key, return_inverse=True, return_counts=True)
+            return n.astype(np.int32)[back.reshape(-1)]
+
+        word = times(c.word, len(c.words))
+        return times(c.pair, len(c.pairs)), np.roll(word, 1), word
 
 
 def _bucket(context: np.ndarray) -> np.ndarray:
@@ -276,11 +275,16 @@ def score_texts(docs: DataFrame, tokens: int = CHUNK) -> DataFrame:
     pairs = chunked.groupBy("chunk").cogroup(spark.table(replied).groupBy("chunk"))
 
     def cells(one: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        both, context, word = _Facts(next(one.itertuples()), answers, train_texts).without_own()
-        two, single = both / np.maximum(context, 1), word / max(1, train_tokens)
-        code = (_bucket(context) * _LEVELS + _level(two)) * _LEVELS + _level(single)
-        code, n = np.unique(code, return_counts=True)
-        return pd.DataFrame({"bucket": code // _LEVELS**2, "two": code // _LEVELS % _LEVELS, "one": code % _LEVELS, "n": n})
+        f = _Facts(next(one.itertuples()), answers, train_texts)
+        pair, before, own = f.own()
+        n = np.zeros(BUCKETS * _LEVELS**2, np.int64)
+        for at, both, context, word in f.blocks():
+            t = f.chunk.train[at]
+            both, context, word = (both - pair[at])[t], (context - before[at])[t], (word - own[at])[t]
+            two, single = both / np.maximum(context, 1), word / max(1, train_tokens)
+            n += np.bincount((_bucket(context) * _LEVELS + _level(two)) * _LEVELS + _level(single), minlength=len(n))
+        code = np.flatnonzero(n)
+        return pd.DataFrame({"bucket": code // _LEVELS**2, "two": code // _LEVELS % _LEVELS, "one": code % _LEVELS, "n": n[code]})
 
     by = ["bucket", "two", "one"]
     held_out = pairs.applyInPandas(cells, "bucket bigint, two bigint, one bigint, n bigint")
@@ -289,20 +293,27 @@ def score_texts(docs: DataFrame, tokens: int = CHUNK) -> DataFrame:
     def scores(one: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         f = _Facts(next(one.itertuples()), answers, train_texts)
         c = f.chunk
-        w = weights[_bucket(f.context)]
-        two = f.both / np.maximum(f.context, 1)
-        p = w[:, 0] * two + w[:, 1] * (f.word / max(1, train_tokens)) + w[:, 2] * unseen
-        base = np.log10((f.word + 1) / (train_tokens + distinct + 1))
         n = len(c.ids)
+        base, score, known = np.zeros(n), np.zeros(n), np.zeros(n)
+        for at, both, context, word in f.blocks():
+            w, text = weights[_bucket(context)], c.text[at]
+            two = both / np.maximum(context, 1)
+            p = w[:, 0] * two + w[:, 1] * (word / max(1, train_tokens)) + w[:, 2] * unseen
+            low = text[0]
+            to = slice(low, text[-1] + 1)
+            text = text - low
+            base[to] += np.bincount(text, np.log10((word + 1) / (train_tokens + distinct + 1)))
+            score[to] += np.bincount(text, np.log10(p))
+            known[to] += np.bincount(text, word > 0)
         return pd.DataFrame(
             {
                 "doc_id": pd.array(c.ids, "Int64"),
                 "held_out": c.held_out,
                 "n_tokens": c.sizes + 1,
-                "n_known": np.bincount(c.text, f.word > 0, n).astype(np.int64),
+                "n_known": known.astype(np.int64),
                 "train_tokens": train_tokens,
-                "base_score": np.bincount(c.text, base, n),
-                "score": np.bincount(c.text, np.log10(p), n),
+                "base_score": base,
+                "score": score,
             }
         )
 
