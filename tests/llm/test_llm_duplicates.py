@@ -178,6 +178,45 @@ def test_passages_of_odd_rows(spark):
     assert passages.repeated_passages(no_documents(spark)).count() == 0
 
 
+def test_passages_behind_an_earlier_document_that_shares_less(spark):
+    """Pairs share 50 to 60 words exactly; earlier documents hold most of these words and differ in the rest."""
+    rng = random.Random(11)
+    own = lambda n: [f"o{rng.random()}" for _ in range(n)]
+    docs, want = [], {}
+
+    def put(passage, expected):
+        before = rng.randint(10, 60)
+        docs.append((len(docs), " ".join(own(before) + passage + own(rng.randint(10, 60)))))
+        if expected:
+            want[docs[-1][0]] = (before, before + len(passage))
+
+    common = [f"c{n}" for n in range(45)]
+    for _ in range(20):
+        put(common + own(5), False)
+    for _ in range(40):
+        shared = common + own(5)
+        put(shared, True)
+        put(shared, True)
+    template = [f"t{n}" for n in range(56)]
+    filled = lambda: [own(1)[0] if n in (12, 30, 47) else w for n, w in enumerate(template)]
+    for _ in range(20):
+        put(filled(), False)
+    for _ in range(40):
+        shared = filled()
+        put(shared, True)
+        put(shared, True)
+    twice = own(60)
+    put(twice + own(100) + twice, False)
+    put(twice, True)
+    rows = passages.repeated_passages(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()
+    spans = defaultdict(list)
+    for r in rows:
+        spans[r.doc_id].append((r.first_word, r.end_word))
+    lost = [i for i, (a, b) in want.items() if not any(x <= a and b <= y for x, y in spans[i])]
+    assert lost == []
+    assert sum(y - x >= 60 for x, y in spans[len(docs) - 2]) == 2  # both places of the first document
+
+
 @pytest.mark.parametrize("cell, block", [(10_000, 10_000), (40, 16)])
 def test_embedding_links_equal_brute_force(spark, cell, block):
     rng = np.random.default_rng(6)
