@@ -178,6 +178,15 @@ def test_passages_of_odd_rows(spark):
     assert passages.repeated_passages(no_documents(spark)).count() == 0
 
 
+def test_contexts_of_different_surroundings_differ(spark):
+    docs = [(i, " ".join(f"w{i}x{n}" for n in range(20_000))) for i in range(4)]
+    rows = passages.windows(spark.createDataFrame(docs, "id bigint, text string")).collect()
+    for column, side in (("before", -passages.SIDE), ("after", passages.SIDE)):
+        places = {(r.id, r.c + side) for r in rows if r[column]}
+        assert len(places) > 3000
+        assert len({r[column] for r in rows if r[column]}) == len(places)
+
+
 def test_passages_behind_an_earlier_document_that_shares_less(spark):
     """Pairs share 50 to 60 words exactly; earlier documents hold most of these words and differ in the rest."""
     rng = random.Random(11)
