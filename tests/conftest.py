@@ -23,8 +23,3 @@ def spark():
 @pytest.fixture(scope="session")
 def sf_dir():
     return SF_DIR
-
-
-def records(df):
-    """Rows as a sorted list of tuples (nulls first)."""
-    return sorted((tuple(r) for r in df.collect()), key=lambda r: [(x is not None, x) for x in r])

@@ -1,7 +1,7 @@
 """The whole consolidation on a tiny star in the source layout, read from CSV."""
 
 import pytest
-from conftest import records
+from rows import records
 
 from sessionloom.operators import features
 from sessionloom.plans import consolidation as c

@@ -4,7 +4,7 @@ import math
 
 import numpy as np
 import pytest
-from conftest import records
+from rows import records
 from pyspark.sql import functions as F
 
 from sessionloom.operators import features, histograms, joins, profile, quality, quantiles, ranking, shape

@@ -5,7 +5,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
-from conftest import records
+from rows import records
 from pyspark.sql import functions as F
 
 from sessionloom.operators import features, joins, quantiles, ranking

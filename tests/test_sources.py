@@ -6,7 +6,7 @@ import sys
 import zipfile
 
 import pytest
-from conftest import records
+from rows import records
 from pyspark import cloudpickle
 
 from sessionloom.functions.columns import chunk_of, hash_fraction, week_number
