@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sessionloom.llm import bpe, dart_minhash, embedding_dedup, fingerprints, language_model, merkle, mixing, passages, pii, toxicity, warc
+from sessionloom.llm import bpe, dart_minhash, embedding_dedup, fingerprints, language_model, merkle, mixing, passages, pii, quality, toxicity, vector_codes, warc
 from sessionloom.llm.tables import table, vocabulary
 
 
@@ -51,6 +51,8 @@ def op7_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op11_vector_codes": vector_codes.op11_vector_codes,
+    "op12_text_quality": quality.op12_text_quality,
     "op13_merkle_manifest": merkle.op13_merkle_manifest,
     "op7_language_model": op7_language_model,
     "op6_repeated_passages": op6_repeated_passages,
@@ -63,4 +65,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_source_mix": op4_source_mix,
     "op5_bpe_tokens": op5_bpe_tokens,
 }
-ORACLE: dict[str, str] = {"op4_source_mix": mixing.ORACLE, "op13_merkle_manifest": merkle.ORACLE}
+ORACLE: dict[str, str] = {
+    "op4_source_mix": mixing.ORACLE,
+    "op13_merkle_manifest": merkle.ORACLE,
+    "op11_vector_codes": vector_codes.ORACLE,
+}
