@@ -48,3 +48,13 @@ def materialise(df: DataFrame, label: str = "stage") -> DataFrame:
     path = scratch_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def stored_bytes(df: DataFrame) -> int:
+    """Size of the files behind a table that ``materialise`` wrote."""
+    files = df.inputFiles()
+    if not files:
+        return 0
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(files[0].rsplit("/", 1)[0])
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
