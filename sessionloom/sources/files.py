@@ -13,9 +13,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sessionloom.operators.ranking import with_row_number
+
 Schema = str | T.StructType
 
 LINES_PER_BATCH = 10_000
+MEMBER_TASKS = 200
 
 
 def read_csv(spark: SparkSession, path: str, schema: Schema, null_tokens: Sequence[str] = ()) -> DataFrame:
@@ -59,11 +62,30 @@ def _ddl(schema: T.StructType) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
 
 
-def _zip_lines(names: Sequence[str], pattern: str):
-    """Batch function: archive bytes in, CSV lines of the matching members out.
+def _zip_members(pattern: str):
+    """Batch function: archive paths in, one row per matching member out. Only an archive's directory is
+    read. Like ``_zip_lines`` it holds all it needs, so a task needs nothing but pandas and pyarrow."""
 
-    All of it is local, so a task needs nothing but the standard library and pandas.
-    """
+    def members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow.fs import FileSystem
+
+        for batch in batches:
+            for path in batch["path"]:
+                uri = path.replace("file:/", "file:///", 1) if path.startswith("file:/") and "///" not in path else path
+                filesystem, inside = FileSystem.from_uri(uri)
+                with filesystem.open_input_file(inside) as file, zipfile.ZipFile(file) as archive:
+                    found = [
+                        (path, uri, i.filename, i.compress_size)
+                        for i in archive.infolist()
+                        if not i.is_dir() and fnmatch.fnmatchcase(i.filename, pattern)
+                    ]
+                yield pd.DataFrame(found, columns=["archive", "uri", "member", "bytes"])
+
+    return members
+
+
+def _zip_lines(names: Sequence[str]):
+    """Batch function: members in, their CSV lines out. A member is read by ranges and unpacked as a stream."""
     expected = list(names)
 
     def pack(text: Iterator[str], path: str, member: str) -> Iterator[pd.DataFrame]:
@@ -81,34 +103,47 @@ def _zip_lines(names: Sequence[str], pattern: str):
             yield pd.DataFrame({"archive": path, "member": member, "line": held})
 
     def lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow.fs import FileSystem
+
         for batch in batches:
-            for path, content in zip(batch["path"], batch["content"]):
-                with zipfile.ZipFile(io.BytesIO(content)) as archive:
-                    for member in archive.namelist():
-                        if member.endswith("/") or not fnmatch.fnmatchcase(member, pattern):
-                            continue
-                        with archive.open(member) as raw:
-                            text = io.TextIOWrapper(raw, encoding="utf-8-sig", newline="")
-                            header = next(csv.reader([next(text, "")]), [])
-                            if header != expected:
-                                raise ValueError(f"{path}!{member}: header {header}, expected {expected}")
-                            yield from pack(text, path, member)
+            for path, uri, member in zip(batch["archive"], batch["uri"], batch["member"]):
+                filesystem, inside = FileSystem.from_uri(uri)
+                with (
+                    filesystem.open_input_file(inside) as file,
+                    zipfile.ZipFile(file) as archive,
+                    archive.open(member) as raw,
+                ):
+                    text = io.TextIOWrapper(raw, encoding="utf-8-sig", newline="")
+                    header = next(csv.reader([next(text, "")]), [])
+                    if header != expected:
+                        raise ValueError(f"{path}!{member}: header {header}, expected {expected}")
+                    yield from pack(text, path, member)
 
     return lines
 
 
+def zip_members(spark: SparkSession, path: str, members: str = "*") -> DataFrame:
+    """``(archive, uri, member, bytes)`` of the members, chosen by file pattern, of an archive or of every
+    ``*.zip`` under a folder; ``bytes`` is the compressed size."""
+    archives = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path).select("path")
+    return archives.mapInPandas(_zip_members(members), "archive string, uri string, member string, bytes bigint")
+
+
 def read_zipped_csv(spark: SparkSession, path: str, schema: Schema, members: str = "*") -> DataFrame:
-    """CSV members (chosen by file pattern) of every zip archive under ``path``.
+    """CSV members (chosen by file pattern) of a zip archive, or of every archive under a folder.
 
-    Archives spread over tasks; a member is decompressed as a stream and leaves its task in bounded
-    batches. Headers must equal the schema's column names. A quoted field may not span lines.
+    The archives' directories are read first, when this is called. Members then spread over tasks, also
+    those of one archive: a task reads the ranges of its member, unpacks them as a stream and sends lines
+    in bounded batches. Headers must equal the schema's column names. A quoted field may not span lines.
     Adds the columns ``archive`` and ``member``.
     """
     target = _struct(schema)
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path)
-    lines = files.select("path", "content").mapInPandas(
-        _zip_lines(target.names, members), "archive string, member string, line string"
-    )
+    index = with_row_number(zip_members(spark, path, members), ["archive", "member"])
+    many = index.count()
+    # A member to a task, in as many tasks as the cluster plans for a shuffle.
+    tasks = max(1, min(many, max(int(spark.conf.get("spark.sql.shuffle.partitions")), MEMBER_TASKS)))
+    spread = index.repartitionByRange(tasks, "row_number").select("archive", "uri", "member")
+    lines = spread.mapInPandas(_zip_lines(target.names), "archive string, member string, line string")
     row = F.from_csv("line", _ddl(target), {"mode": "FAILFAST"}).alias("row")
     parsed = lines.select("archive", "member", row).select("archive", "member", "row.*")
     return parsed.select("archive", "member", *[_known(f) for f in target])
