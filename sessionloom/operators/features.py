@@ -12,15 +12,20 @@ from sessionloom.operators.joins import group_lookup
 
 
 def session_snapshot(
-    flat: DataFrame, keys: Sequence[str], counters: Sequence[str], attributes: Sequence[str]
+    flat: DataFrame, keys: Sequence[str], counters: Sequence[str], attributes: Sequence[str], texts: Sequence[str] = ()
 ) -> DataFrame:
-    """One row per entity session: counters summed, constant attributes averaged, in one pass."""
+    """One row per entity session: counters summed, constant attributes averaged, in one pass.
+
+    Constant text attributes (``texts``) keep their value, the smallest where a session has several;
+    nulls are passed over, and a session without any value keeps null.
+    """
     return (
         flat.filter(all_present(keys))
         .groupBy(*keys)
         .agg(
             *[zero_sum(c).alias(c) for c in counters],
             *[F.avg(c).alias(c) for c in attributes],
+            *[F.min(c).alias(c) for c in texts],
         )
     )
 

@@ -11,7 +11,7 @@ from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sessionloom.functions.columns import all_present, hash_fraction
+from sessionloom.functions.columns import all_present, hash_fraction, number
 from sessionloom.operators.ranking import stratified_folds
 from sessionloom.sources.scratch import materialise
 
@@ -23,14 +23,14 @@ def holdout(df: DataFrame, key: str, test_share: float, seed: int) -> DataFrame:
 
 
 def standardise(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Centre and scale by the population sd. A constant column is only centred."""
+    """Centre and scale by the population sd. A constant column is only centred; NaN counts as missing."""
     stats = df.agg(
         F.struct(
-            *[F.avg(c).alias(f"m_{c}") for c in cols],
-            *[F.coalesce(F.nullif(F.stddev_pop(c), F.lit(0.0)), F.lit(1.0)).alias(f"s_{c}") for c in cols],
+            *[F.avg(number(c)).alias(f"m_{c}") for c in cols],
+            *[F.coalesce(F.nullif(F.stddev_pop(number(c)), F.lit(0.0)), F.lit(1.0)).alias(f"s_{c}") for c in cols],
         )
     ).scalar()
-    scaled = {c: (F.col(c) - F.col(f"__stats.m_{c}")) / F.col(f"__stats.s_{c}") for c in cols}
+    scaled = {c: (number(c) - F.col(f"__stats.m_{c}")) / F.col(f"__stats.s_{c}") for c in cols}
     return df.withColumn("__stats", stats).withColumns(scaled).drop("__stats")
 
 
@@ -91,47 +91,85 @@ def forest(label: str, trees: int = 100, max_depth: int = 10, seed: int = 7) ->
     return Pipeline(stages=[_scaler(), model])
 
 
-MAKERS: Mapping[str, Callable[[str, int], Pipeline]] = {
+Maker = Callable[[str, int], Pipeline]
+MAKERS: Mapping[str, Maker] = {
     "logistic": logistic,
     "forest": lambda label, n_train: forest(label),
 }
 
 
-def _score(train: DataFrame, test: DataFrame, label: str, model: str) -> DataFrame:
+def makers(max_iter: int = 1000, trees: int = 100, max_depth: int = 10, seed: int = 7) -> dict[str, Maker]:
+    """The named models with other settings than the defaults, for ``holdout_scores`` and the like."""
+    return {
+        "logistic": lambda label, n_train: logistic(label, n_train, max_iter),
+        "forest": lambda label, n_train: forest(label, trees, max_depth, seed),
+    }
+
+
+def _score(train: DataFrame, test: DataFrame, label: str, model: str, made: Mapping[str, Maker]) -> DataFrame:
     if model == "majority":
         scored = test.withColumn("prediction", most_frequent(train, label))
     else:
         # The scaler is fitted on the training rows only, inside the pipeline.
-        scored = MAKERS[model](label, train.count()).fit(train).transform(test)
+        scored = made[model](label, train.count()).fit(train).transform(test)
     return accuracy(scored, label).select(F.lit(model).alias("model"), "n_test", "accuracy")
 
 
 def holdout_scores(
-    df: DataFrame, key: str, label: str, models: Sequence[str], test_share: float = 0.2
+    df: DataFrame, key: str, label: str, models: Sequence[str], test_share: float = 0.2, made: Mapping[str, Maker] = MAKERS
 ) -> DataFrame:
     """Hold-out accuracy per model ``(model, n_test, accuracy)``; each model gets its own draw.
 
     ``df`` has the key, the label and a ``features`` vector. It is written once: the solvers pass
-    over it many times, and a lost executor re-reads its part instead of replaying the plan.
+    over it many times, and a lost executor re-reads its part instead of replaying the plan. ``made``
+    maps each model's name to its maker.
     """
     data = materialise(df.select(key, label, "features"), "features")
     scores = []
     for seed, model in enumerate(models):
         split = holdout(data, key, test_share, seed)
-        scores.append(_score(split.filter(~F.col("is_test")), split.filter("is_test"), label, model))
+        scores.append(_score(split.filter(~F.col("is_test")), split.filter("is_test"), label, model, made))
     return reduce(DataFrame.unionByName, scores)
 
 
 def cross_validated_scores(
-    df: DataFrame, key: str, label: str, models: Sequence[str], folds: int = 5
+    df: DataFrame, key: str, label: str, models: Sequence[str], folds: int = 5, made: Mapping[str, Maker] = MAKERS
 ) -> DataFrame:
     """Accuracy per (model, fold) over unshuffled stratified folds."""
     data = materialise(stratified_folds(df.select(key, label, "features"), label, key, folds), "folds")
     scores = [
-        _score(data.filter(F.col("fold") != fold), data.filter(F.col("fold") == fold), label, model).withColumn(
+        _score(data.filter(F.col("fold") != fold), data.filter(F.col("fold") == fold), label, model, made).withColumn(
             "fold", F.lit(fold)
         )
         for model in models
         for fold in range(folds)
     ]
     return reduce(DataFrame.unionByName, scores)
+
+
+def against_majority(
+    df: DataFrame, key: str, label: str, model: str, test_share: float = 0.2, made: Mapping[str, Maker] = MAKERS
+) -> DataFrame:
+    """One row ``(n_test, majority_accuracy, accuracy, beats_majority)``: a model and the majority class on the
+    same draw (seed 0), so that the difference is the model's."""
+    data = holdout(materialise(df.select(key, label, "features"), "features"), key, test_share, 0)
+    train, test = data.filter(~F.col("is_test")), data.filter("is_test")
+    both = [_score(train, test, label, m, made) for m in ("majority", model)]
+    return _compared(reduce(DataFrame.unionByName, both))
+
+
+def folds_against_majority(
+    df: DataFrame, key: str, label: str, model: str, folds: int = 5, made: Mapping[str, Maker] = MAKERS
+) -> DataFrame:
+    """``against_majority`` for each fold of the cross-validation, with the column ``fold``."""
+    return _compared(cross_validated_scores(df, key, label, ["majority", model], folds, made), ["fold"])
+
+
+def _compared(scores: DataFrame, on: Sequence[str] = ()) -> DataFrame:
+    base = F.col("model") == "majority"
+    both = scores.groupBy(*on).agg(
+        F.max(F.when(base, F.col("n_test"))).alias("n_test"),
+        F.max(F.when(base, F.col("accuracy"))).alias("majority_accuracy"),
+        F.max(F.when(~base, F.col("accuracy"))).alias("accuracy"),
+    )
+    return both.withColumn("beats_majority", F.col("accuracy") > F.col("majority_accuracy"))

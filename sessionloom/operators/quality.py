@@ -79,6 +79,28 @@ def last_day_rows(df: DataFrame, session: Sequence[str], day: str) -> DataFrame:
     return group_lookup(df, last, session).filter(F.col(day) == F.col("__last")).drop("__last")
 
 
+def last_days(df: DataFrame, keys: Sequence[str], day: str, score: str) -> DataFrame:
+    """The part of ``last_day_scored`` that reads the log: per key the last day and the scored rows. Session
+    attributes that the log lacks are joined to this, not to the log."""
+    return df.filter(all_present(list(keys))).groupBy(*keys).agg(
+        F.max(day).alias("__seen"), F.count(score).alias("__scored")
+    )
+
+
+def last_day_members(per_entity: DataFrame, session: Sequence[str]) -> DataFrame:
+    """The rows of ``last_days`` that are scored and seen on the last day of their session."""
+    stored = materialise(per_entity.filter(all_present(list(session))), "entities")
+    last = stored.groupBy(*session).agg(F.max("__seen").alias("__last"))
+    kept = group_lookup(stored, last, session)
+    return kept.filter((F.col("__scored") > 0) & (F.col("__seen") == F.col("__last"))).drop("__scored", "__seen")
+
+
+def rows_of_members(df: DataFrame, members: DataFrame, keys: Sequence[str], day: str) -> DataFrame:
+    """The log's rows of those members on that day, with the members' other columns."""
+    rows = lookup_join(df, materialise(members, "members"), keys, "inner")
+    return rows.filter(F.col(day) == F.col("__last")).drop("__last")
+
+
 def last_day_scored(df: DataFrame, session: Sequence[str], entity: str, day: str, score: str) -> DataFrame:
     """Rows on the session's last day that belong to an id scored in that session.
 
@@ -86,20 +108,8 @@ def last_day_scored(df: DataFrame, session: Sequence[str], entity: str, day: str
     are then looked up on the rows.
     """
     keys = [*session, entity]
-    per_entity = materialise(
-        df.filter(all_present(keys))
-        .groupBy(*keys)
-        .agg(F.max(day).alias("__seen"), F.count(score).alias("__scored")),
-        "entities",
-    )
-    last = per_entity.groupBy(*session).agg(F.max("__seen").alias("__last"))
-    members = (
-        group_lookup(per_entity, last, session)
-        .filter((F.col("__scored") > 0) & (F.col("__seen") == F.col("__last")))
-        .select(*keys, "__last")
-    )
-    rows = lookup_join(df, materialise(members, "members"), keys, "inner")
-    return rows.filter(F.col(day) == F.col("__last")).select(*df.columns)
+    members = last_day_members(last_days(df, keys, day, score), session)
+    return rows_of_members(df, members, keys, day).select(*df.columns)
 
 
 def score_order_check(df: DataFrame, keys: Sequence[str], day: str, score: str) -> DataFrame:

@@ -68,12 +68,43 @@ def model_cv(spark, sf):
     return models.cross_validated_scores(_vectors(spark, sf), "vec_id", "label", ["majority", "logistic", "forest"])
 
 
+QUICK = models.makers(max_iter=200, trees=10, max_depth=5)
+LARGE = 25
+
+
+def _sized_parts(spark, sf):
+    """Parts labelled by size: one feature tells the label, the other doesn't."""
+    parts = v.table(spark, sf, "part").select(
+        "p_partkey", (F.col("p_size") > LARGE).cast("int").alias("label"), "p_size", "p_retailprice"
+    )
+    return models.assemble(parts, ["p_size", "p_retailprice"], ["p_partkey", "label"])
+
+
+def _check(scores):
+    shown = scores.withColumn("majority_accuracy", F.round("majority_accuracy", 6))
+    return shown.withColumn("above_09", F.col("accuracy") > 0.9).drop("accuracy")
+
+
+def logistic_check(spark, sf):
+    """A separable label: what SQL can state of the fit, that is its rows, the majority's hits and that it wins."""
+    return _check(models.against_majority(_sized_parts(spark, sf), "p_partkey", "label", "logistic", made=QUICK))
+
+
+def forest_check(spark, sf):
+    return _check(models.against_majority(_sized_parts(spark, sf), "p_partkey", "label", "forest", made=QUICK))
+
+
+def cv_check(spark, sf):
+    scores = models.folds_against_majority(_sized_parts(spark, sf), "p_partkey", "label", "logistic", 3, QUICK)
+    return _check(scores).drop("above_09")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         v.display(majority_baseline, {"accuracy": 6}), v.display(majority_text, {"accuracy": 6}),
         standardize, holdout_split, stratified_folds, majority_cv, logistic_holdout,
-        forest_holdout, snapshot_holdout, model_cv,
+        forest_holdout, snapshot_holdout, model_cv, logistic_check, forest_check, cv_check,
     )
 }
 
@@ -83,7 +114,25 @@ FROM labels"""
 _FOLDS = """
 SELECT *, CAST(ntile(5) OVER (PARTITION BY quality ORDER BY doc_id) - 1 AS INTEGER) AS fold FROM labels"""
 
+_PARTS = f"SELECT p_partkey, CAST(p_size > {LARGE} AS INTEGER) AS label FROM part"
+_CHECK = f"""
+WITH s AS (SELECT *, CAST(('0x' || substr(md5('0:' || p_partkey), 1, 8)) AS BIGINT) / 4294967296.0::DOUBLE < 0.2::DOUBLE AS is_test
+           FROM ({_PARTS})),
+m AS (SELECT label AS guess FROM s WHERE NOT is_test GROUP BY label ORDER BY count(*) DESC, label LIMIT 1)
+SELECT count(*) AS n_test, round(avg(CASE WHEN label = guess THEN 1.0::DOUBLE ELSE 0 END), 6) AS majority_accuracy,
+       TRUE AS beats_majority, TRUE AS above_09
+FROM s, m WHERE is_test"""
+
 ORACLE = {
+    "logistic_check": _CHECK,
+    "forest_check": _CHECK,
+    "cv_check": f"""
+WITH f AS (SELECT *, CAST(ntile(3) OVER (PARTITION BY label ORDER BY p_partkey) - 1 AS INTEGER) AS fold FROM ({_PARTS})),
+c AS (SELECT k.fold, f.label, count(*) AS n FROM f, (SELECT DISTINCT fold FROM f) k WHERE f.fold <> k.fold GROUP BY ALL),
+m AS (SELECT fold, arg_max(label, n * 10 - label) AS guess FROM c GROUP BY fold)
+SELECT fold, count(*) AS n_test, round(avg(CASE WHEN label = guess THEN 1.0::DOUBLE ELSE 0 END), 6) AS majority_accuracy,
+       TRUE AS beats_majority
+FROM f JOIN m USING (fold) GROUP BY fold""",
     "majority_text": f"""
 WITH s AS (SELECT o_orderstatus, CAST(('0x' || substr(md5('{SEED}:' || o_orderkey), 1, 8)) AS BIGINT) / 4294967296.0::DOUBLE
                   < 0.2::DOUBLE AS is_test FROM orders),

@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from sessionloom.plans import (
+    attributes,
     baselines,
     distributions,
     features,
+    flat,
     merges,
     profiles,
     quality,
@@ -17,7 +19,7 @@ from sessionloom.plans import (
     star,
 )
 
-_MODULES = (merges, features, profiles, distributions, quality, round_trips, baselines, star)
+_MODULES = (merges, features, profiles, distributions, quality, round_trips, baselines, star, attributes, flat)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     name: query for module in _MODULES for name, query in module.QUERIES.items()

@@ -15,8 +15,8 @@ from sessionloom.operators.joins import (
     left_merge,
     outer_merge,
 )
-from sessionloom.operators.shape import pivot_sum
-from sessionloom.sources.files import read_csv
+from sessionloom.operators.shape import levels_of, pivot_loss, pivot_sum
+from sessionloom.sources.files import read_csv, read_zipped_csv
 from sessionloom.sources.schemas import ACTIVITIES, SOURCES
 
 COURSE = ["code_module", "code_presentation"]
@@ -24,7 +24,10 @@ SESSION = ["id_student", *COURSE]
 
 
 def load_sources(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    """The seven source tables as ``{name}.csv`` under one folder."""
+    """The seven source tables as ``{name}.csv`` under one folder, or as members of one zip archive."""
+    if folder.endswith(".zip"):
+        tables = {name: read_zipped_csv(spark, folder, ddl, f"*{name}.csv") for name, ddl in SOURCES.items()}
+        return {name: df.drop("archive", "member") for name, df in tables.items()}
     return {name: read_csv(spark, f"{folder}/{name}.csv", ddl) for name, ddl in SOURCES.items()}
 
 
@@ -39,27 +42,55 @@ def submissions(student_assessment: DataFrame, assessments: DataFrame) -> DataFr
 
 
 def daily_activity(
-    student_vle: DataFrame, vle: DataFrame, activities: Sequence[str] = tuple(ACTIVITIES)
+    student_vle: DataFrame,
+    vle: DataFrame,
+    activities: Sequence[str] | None = tuple(ACTIVITIES),
+    other: str | None = None,
 ) -> DataFrame:
     """One row per student, session and day with a click count per activity.
 
+    ``activities=None`` takes the list from the site table. ``other`` names a column that gathers the
+    clicks on activities outside the list and on unknown sites; without it ``activity_loss`` counts them.
+
     Clicks are summed per site and day before the site table is joined, so the join sees the
     collapsed log and a heavy student has at most one row per site and day.
     """
-    per_site = student_vle.filter(all_present([*SESSION, "date"])).groupBy(*SESSION, "id_site", "date").agg(
-        F.sum("sum_click").alias("sum_click")
-    )
-    sites = vle.select("id_site", *COURSE, "activity_type")
-    return pivot_sum(left_merge(per_site, sites), [*SESSION, "date"], "activity_type", "sum_click", activities)
+    levels = activity_levels(vle) if activities is None else activities
+    per_site = _site_days(student_vle.filter(all_present([*SESSION, "date"])), vle)
+    return pivot_sum(per_site, [*SESSION, "date"], "activity_type", "sum_click", levels, other)
+
+
+def _site_days(student_vle: DataFrame, vle: DataFrame) -> DataFrame:
+    per_site = student_vle.groupBy(*SESSION, "id_site", "date").agg(F.sum("sum_click").alias("sum_click"))
+    return left_merge(per_site, vle.select("id_site", *COURSE, "activity_type"))
+
+
+def activity_levels(vle: DataFrame) -> list[str]:
+    """The activities of the site table, in order."""
+    return levels_of(vle, "activity_type")
+
+
+def activity_loss(
+    student_vle: DataFrame, vle: DataFrame, activities: Sequence[str] = tuple(ACTIVITIES)
+) -> DataFrame:
+    """One row: clicks in all, in listed activities, in others, on unknown sites, and without a session key."""
+    return pivot_loss(_site_days(student_vle, vle), [*SESSION, "date"], "activity_type", "sum_click", activities)
 
 
 def consolidated(
-    tables: dict[str, DataFrame], activities: Sequence[str] = tuple(ACTIVITIES)
+    tables: dict[str, DataFrame],
+    activities: Sequence[str] | None = tuple(ACTIVITIES),
+    other: str | None = None,
 ) -> DataFrame:
-    """The final table: daily activity outer-merged with submissions, plus session attributes."""
-    daily = daily_activity(tables["studentVle"], tables["vle"], activities)
+    """The final table: daily activity outer-merged with submissions, plus session attributes.
+
+    ``activities`` and ``other`` as in ``daily_activity``.
+    """
+    levels = activity_levels(tables["vle"]) if activities is None else list(activities)
+    daily = daily_activity(tables["studentVle"], tables["vle"], levels, other)
     subs = submissions(tables["studentAssessment"], tables["assessments"])
-    merged = activity_assessment_merge(daily, subs, SESSION, "date", "date_submitted", activities)
+    counters = [*levels, *([other] if other else [])]
+    merged = activity_assessment_merge(daily, subs, SESSION, "date", "date_submitted", counters)
     info = session_info(tables["courses"], tables["studentInfo"], tables["studentRegistration"])
     return left_merge(merged, info.filter(all_present(["id_student"])))
 

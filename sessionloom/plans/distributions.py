@@ -86,7 +86,27 @@ def density_constant(spark, sf):
     return histograms.density_curve(parts, "level")
 
 
+def density_continuous(spark, sf):
+    """The density of a column with about as many values as rows."""
+    return histograms.density_curve(v.table(spark, sf, "lineitem"), "l_extendedprice")
+
+
+def pair_bins_grid(spark, sf):
+    """Both sides of every pair binned."""
+    return histograms.pair_bins(
+        v.table(spark, sf, "lineitem"), ["l_extendedprice", "l_tax"], ["l_quantity", "l_discount"], "l_returnflag", 10, 8
+    )
+
+
+def scored_day_bins(spark, sf):
+    """Days of all rows and of scored rows on common bins, per presentation."""
+    return histograms.shared_bins(
+        v.event_days(spark, sf), "date", {"n_scored": F.col("score").isNotNull()}, 10, ["code_presentation"]
+    )
+
+
 _BINNED = (
+    scored_day_bins,
     hist_equal_bins, hist_multi_feature, session_histograms, hist_nonzero, hist_by_class, hist_trimmed_class,
     hist_tail_common, hist_trimmed_facets, hist_days_by_presentation,
 )
@@ -96,6 +116,8 @@ QUERIES = {
     for f in (
         *[v.display(q, {"bin_lo": 6, "bin_hi": 6}) for q in _BINNED],
         v.display(density_curve, {"x": 6, "density": 9}),
+        v.display(density_continuous, {"x": 6, "density": 12}),
+        pair_bins_grid,
         density_constant,
         hist_fixed_edges, hist_2d, day_range_by_group, pair_bins, fill_first_non_null,
     )
@@ -136,6 +158,31 @@ SELECT {all_keys}, bin, round(lo + bin * ((hi - lo) / {bins}.0::DOUBLE), 6) AS b
 FROM spine LEFT JOIN c USING ({all_keys}, bin)"""
 
 
+def _density_sql(source: str, digits: int) -> str:
+    return f"""
+WITH src AS ({source}),
+s AS (SELECT count(*) AS n, min(x) AS lo, max(x) AS hi, stddev_samp(x) * pow(count(*), -0.2::DOUBLE) AS h FROM src),
+g AS (SELECT CAST(i AS INTEGER) AS point, lo + i * (hi - lo) / 99.0::DOUBLE AS gx, n, h FROM s, range(100) t(i))
+SELECT point, round(gx, 6) AS x,
+       round(sum(exp(-0.5::DOUBLE * pow((gx - x) / h, 2))) / (n * h * sqrt(2.0::DOUBLE * pi())), {digits}) AS density
+FROM g, src GROUP BY point, gx, n, h"""
+
+
+def _pair_grid_sql() -> str:
+    bins = {"l_extendedprice": 10, "l_tax": 10, "l_quantity": 8, "l_discount": 8}
+    edges = ", ".join(f"min({c}) AS {c}_lo, max({c}) AS {c}_hi" for c in bins)
+    at = ", ".join(
+        f"LEAST(CAST(floor(({c} - {c}_lo) * {n}.0::DOUBLE / ({c}_hi - {c}_lo)) AS INTEGER), {n - 1}) AS {c}_bin" for c, n in bins.items()
+    )
+    cells = " UNION ALL ".join(
+        f"SELECT '{x}' AS x_feature, '{y}' AS y_feature, l_returnflag, {x}_bin AS x_bin, {y}_bin AS y_bin FROM b"
+        for x in ("l_extendedprice", "l_tax") for y in ("l_quantity", "l_discount")
+    )
+    return f"""
+WITH e AS (SELECT {edges} FROM lineitem), b AS (SELECT l_returnflag, {at} FROM lineitem, e)
+SELECT *, count(*) AS n FROM ({cells}) GROUP BY ALL"""
+
+
 _SIZES = ", ".join(f"({i}, {lo}::DOUBLE, {hi}::DOUBLE)" for i, (lo, hi) in enumerate(zip(SIZE_EDGES, SIZE_EDGES[1:])))
 _TRIMMED = "o_totalprice <= (SELECT quantile_cont(o_totalprice, 0.98) FROM orders)"
 _TAIL = "o_totalprice >= (SELECT quantile_cont(o_totalprice, 0.75) FROM orders)"
@@ -177,13 +224,20 @@ WHERE "view" <= (SELECT quantile_cont(CAST("view" AS DOUBLE), 0.95) FROM ({v.SES
     "day_range_by_group": f"""
 SELECT code_presentation, count(*) AS n, min(date) AS first_day, max(date) AS last_day
 FROM ({v.EVENT_DAYS}) GROUP BY code_presentation""",
-    "density_curve": f"""
-WITH src AS (SELECT CAST({_TOTAL} AS DOUBLE) AS x FROM ({v.SESSIONS})),
-s AS (SELECT count(*) AS n, min(x) AS lo, max(x) AS hi, stddev_samp(x) * pow(count(*), -0.2::DOUBLE) AS h FROM src),
-g AS (SELECT CAST(i AS INTEGER) AS point, lo + i * (hi - lo) / 99.0::DOUBLE AS gx, n, h FROM s, range(100) t(i))
-SELECT point, round(gx, 6) AS x,
-       round(sum(exp(-0.5::DOUBLE * pow((gx - x) / h, 2))) / (n * h * sqrt(2.0::DOUBLE * pi())), 9) AS density
-FROM g, src GROUP BY point, gx, n, h""",
+    "density_curve": _density_sql(f"SELECT CAST({_TOTAL} AS DOUBLE) AS x FROM ({v.SESSIONS})", 9),
+    "density_continuous": _density_sql("SELECT l_extendedprice AS x FROM lineitem", 12),
+    "pair_bins_grid": _pair_grid_sql(),
+    "scored_day_bins": f"""
+WITH src AS (SELECT code_presentation, CAST(date AS DOUBLE) AS value, score FROM ({v.EVENT_DAYS})),
+r0 AS (SELECT code_presentation, min(value) AS a, max(value) AS b FROM src GROUP BY ALL),
+r AS (SELECT code_presentation, CASE WHEN a = b THEN a - 0.5 ELSE a END AS lo, CASE WHEN a = b THEN b + 0.5 ELSE b END AS hi FROM r0),
+c AS (SELECT code_presentation, LEAST(CAST(floor((value - lo) * 10.0::DOUBLE / (hi - lo)) AS INTEGER), 9) AS bin,
+             count(*) AS n, count(score) AS n_scored FROM src JOIN r USING (code_presentation) GROUP BY ALL)
+SELECT code_presentation, CAST(i AS INTEGER) AS bin, round(lo + i * ((hi - lo) / 10.0::DOUBLE), 6) AS bin_lo,
+       round(lo + (i + 1) * ((hi - lo) / 10.0::DOUBLE), 6) AS bin_hi, COALESCE(n, 0) AS n, COALESCE(n_scored, 0) AS n_scored
+FROM (SELECT * FROM r, range(10) t(i)) s LEFT JOIN c ON c.code_presentation = s.code_presentation AND c.bin = s.i""".replace(
+        "SELECT code_presentation, CAST(i", "SELECT s.code_presentation, CAST(i"
+    ),
     "density_constant": """
 SELECT CAST(i AS INTEGER) AS point, 3.0::DOUBLE AS x, 1.0::DOUBLE AS density FROM range(100) t(i) WHERE EXISTS (FROM part)""",
     "pair_bins": """

@@ -149,9 +149,57 @@ def quantile_band(spark, sf):
     return quantiles.band(orders, "o_totalprice", 0.05, 0.95)
 
 
+REFINED = ["tail", "hot", "tiny"]
+REFINED_PROBS = [0.01, 0.25, 0.5, 0.9, 0.999]
+
+
+def quantile_refined(spark, sf):
+    """A heavy tail, a value on a third of the rows and values near zero, refined in many narrow steps."""
+    x = F.col("l_extendedprice")
+    shapes = v.table(spark, sf, "lineitem").select(
+        (x / 1000 * (x / 1000) * (x / 1000)).alias("tail"),
+        F.when(F.col("l_returnflag") == "N", F.lit(5.0)).otherwise(x).alias("hot"),
+        (x * 1e-9).alias("tiny"),
+    )
+    marks = quantiles.exact_quantiles(shapes, REFINED, REFINED_PROBS, accuracy=32)
+    fine = F.when(F.col("feature") == "tiny", F.round("quantile", 12)).otherwise(F.round("quantile", 4))
+    return marks.withColumn("quantile", fine)
+
+
+def _wide_columns() -> dict[str, tuple[str, int, int]]:
+    """Twenty columns from the four measures: ``measure + k * l_linenumber``, missing on every (k + 5)th order."""
+    return {f"{m}_{k}": (m, k, k + 5) for k in range(5) for m in MEASURES}
+
+
+def correlation_wide(spark, sf):
+    lines = v.table(spark, sf, "lineitem").select(
+        *[
+            F.when(F.col("l_orderkey") % every != 0, F.col(m) + F.col("l_linenumber") * k).alias(name)
+            for name, (m, k, every) in _wide_columns().items()
+        ]
+    )
+    return profile.correlation_matrix(lines, list(_wide_columns()))
+
+
+LISTED_MODULES, LISTED_PRESENTATIONS = v.MODULES[:3], v.PRESENTATIONS[1:]
+
+
+def contingency_loss(spark, sf):
+    return profile.contingency_loss(
+        v.clicks(spark, sf), "code_module", LISTED_MODULES, "code_presentation", LISTED_PRESENTATIONS
+    )
+
+
+def stacked_other(spark, sf):
+    """The stacked counts with two of the four results listed."""
+    return profile.stacked_counts(v.students(spark, sf), "region", "final_result", [0, 1], "n_other")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
+        v.display(correlation_wide, {"r": 6}),
+        quantile_refined, contingency_loss, stacked_other,
         v.display(describe_numeric, DESCRIBED, even=True),
         *[v.display(q, {"zero_share_of_rows": 6}) for q in (sparsity_profile, session_sparsity)],
         *[v.display(q, {"r": 6}) for q in (correlation_matrix, snapshot_correlation)],
@@ -211,7 +259,33 @@ SELECT * EXCLUDE (rn) FROM (
 WHERE rn = 1"""
 _COUNTS = f"SELECT region, code_module, count(*) AS n FROM ({v.STUDENTS}) GROUP BY region, code_module"
 
+_WIDE = "SELECT " + ", ".join(
+    f"CASE WHEN l_orderkey % {every} <> 0 THEN {m} + l_linenumber * {k} END AS {name}"
+    for name, (m, k, every) in _wide_columns().items()
+) + " FROM lineitem"
+_TAIL = "l_extendedprice / 1000"
+_SHAPES = f"""
+SELECT {_TAIL} * ({_TAIL}) * ({_TAIL}) AS tail, CASE WHEN l_returnflag = 'N' THEN 5.0::DOUBLE ELSE l_extendedprice END AS hot,
+       l_extendedprice * 1e-9::DOUBLE AS tiny FROM lineitem"""
+_IN_MODULES = ", ".join(f"'{m}'" for m in LISTED_MODULES)
+_IN_TERMS = ", ".join(map(str, LISTED_PRESENTATIONS))
+
 ORACLE = {
+    "quantile_refined": f"WITH src AS MATERIALIZED ({_SHAPES}) " + _union(
+        f"SELECT '{c}' AS feature, {q}::DOUBLE AS prob, round(quantile_cont({c}, {q}), {12 if c == 'tiny' else 4}) AS quantile FROM src"
+        for c in REFINED for q in REFINED_PROBS
+    ),
+    "correlation_wide": correlation_sql(_WIDE, list(_wide_columns())),
+    "contingency_loss": f"""
+SELECT count(*) AS total,
+       count(*) FILTER (WHERE code_module IN ({_IN_MODULES}) AND code_presentation IN ({_IN_TERMS})) AS listed,
+       count(*) FILTER (WHERE code_module NOT IN ({_IN_MODULES}) OR code_presentation NOT IN ({_IN_TERMS})) AS unlisted,
+       count(*) FILTER (WHERE code_module IS NULL OR code_presentation IS NULL) AS no_value
+FROM ({v.CLICKS})""",
+    "stacked_other": f"""
+SELECT region, count(*) FILTER (WHERE final_result = 0) AS n_0, count(*) FILTER (WHERE final_result = 1) AS n_1,
+       count(*) FILTER (WHERE final_result NOT IN (0, 1) OR final_result IS NULL) AS n_other
+FROM ({v.STUDENTS}) GROUP BY region""",
     "describe_numeric": describe_sql(v.GAPPY_LINES, MEASURES),
     "missing_counts": f"WITH src AS ({v.GAPPY_LINES}) " + _union(
         f"SELECT '{c}' AS column_name, count(*) - count({c}) AS missing FROM src" for c in _LINE_TYPES

@@ -44,8 +44,12 @@ def unscored_ids(spark, sf):
 
 
 def last_day_scored(spark, sf):
-    log = v.clicks(spark, sf).select("event_id", *LAST, "date", "score")
-    return quality.last_day_scored(log, COURSE, "id_student", "date", "score")
+    """The module is joined to one row per student and presentation, not to the log."""
+    log = v.event_days(spark, sf).select("event_id", "id_student", "code_presentation", "date", "score")
+    keys = ["id_student", "code_presentation"]
+    per_entity = joins.left_merge(quality.last_days(log, keys, "date", "score"), _modules(spark, sf))
+    rows = quality.rows_of_members(log, quality.last_day_members(per_entity, COURSE), keys, "date")
+    return rows.select("event_id", *LAST, "date", "score")
 
 
 def last_day_rows(spark, sf):

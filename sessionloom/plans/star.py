@@ -84,7 +84,35 @@ def star_consolidated(spark, sf):
     return consolidation.consolidated(tables(spark, sf), v.ACTIVITY)
 
 
-QUERIES = {f.__name__: f for f in (star_session_info, star_daily_activity, star_consolidated)}
+def star_levels(spark, sf):
+    """The final table with the activities that the site table names."""
+    return consolidation.consolidated(tables(spark, sf), None)
+
+
+def star_other(spark, sf):
+    """Daily activity with two activities listed and the rest in a column of its own."""
+    t = tables(spark, sf)
+    return consolidation.daily_activity(t["studentVle"], t["vle"], LISTED, "other")
+
+
+def star_activity_loss(spark, sf):
+    t = tables(spark, sf)
+    return consolidation.activity_loss(t["studentVle"], t["vle"], LISTED)
+
+
+def star_dayless(spark, sf):
+    totals = consolidation.dayless_totals(tables(spark, sf))
+    return totals.withColumn("sum_score", F.round("sum_score", 2))
+
+
+LISTED = v.ACTIVITY[:2]
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        star_session_info, star_daily_activity, star_consolidated, star_levels, star_other, star_activity_loss, star_dayless,
+    )
+}
 
 _MODULE_NO = "list_position(['" + "', '".join(v.MODULES) + "'], code_module)"
 _ACTIVITY_NO = "list_position(['" + "', '".join(v.ACTIVITY) + "'], activity_type)"
@@ -127,3 +155,32 @@ merged AS (SELECT COALESCE(d.id_student, s.id_student) AS id_student, COALESCE(d
                 AND d.code_presentation = s.code_presentation AND d.date = s.date_submitted)
 SELECT * FROM merged LEFT JOIN (SELECT * FROM info WHERE id_student IS NOT NULL) USING (id_student, code_module, code_presentation)""",
 }
+
+_CLICKS = f"""
+SELECT CAST(id_student AS INTEGER) AS id_student, code_module, CAST(code_presentation AS VARCHAR) AS code_presentation, date,
+       activity_type, sum_click
+FROM ({v.EVENT_DAYS}) JOIN (SELECT c_custkey AS id_student, c_mktsegment AS code_module FROM customer) USING (id_student)"""
+_IN_LIST = ", ".join(f"'{a}'" for a in LISTED)
+ORACLE |= {
+    "star_levels": ORACLE["star_consolidated"],
+    "star_other": f"""
+SELECT id_student, code_module, code_presentation, date,
+       {', '.join(f"count(*) FILTER (WHERE activity_type = '{a}') AS {a}" for a in LISTED)},
+       count(*) FILTER (WHERE activity_type NOT IN ({_IN_LIST})) AS other
+FROM ({_CLICKS}) GROUP BY ALL""",
+    "star_activity_loss": f"""
+SELECT count(*) AS total, count(*) FILTER (WHERE activity_type IN ({_IN_LIST})) AS listed,
+       count(*) FILTER (WHERE activity_type NOT IN ({_IN_LIST})) AS unlisted, CAST(0 AS BIGINT) AS no_level, CAST(0 AS BIGINT) AS no_key
+FROM ({_CLICKS})""",
+    "star_dayless": f"""
+WITH cust AS (SELECT c_custkey AS id_student, c_mktsegment AS code_module FROM customer),
+a AS (SELECT id_student, code_module, code_presentation, count(*) AS left_rows FROM ({_CLICKS}) GROUP BY ALL),
+b AS (SELECT CAST(s.id_student AS INTEGER) AS id_student, code_module,
+             CAST(CAST(floor(date_submitted / 15) AS INTEGER) AS VARCHAR) AS code_presentation,
+             count(*) AS right_rows, sum(CAST(score AS DECIMAL(18, 2))) AS score
+      FROM ({v.SUBMISSIONS}) s JOIN cust c ON s.id_student = c.id_student GROUP BY ALL)
+SELECT a.id_student, a.code_module, a.code_presentation, left_rows, COALESCE(right_rows, 0) AS right_rows,
+       left_rows * GREATEST(COALESCE(right_rows, 0), 1) AS merged_rows,
+       left_rows * GREATEST(COALESCE(right_rows, 0), 1) AS sum_sum_click, round(CAST(score * left_rows AS DOUBLE), 2) AS sum_score
+FROM a LEFT JOIN b USING (id_student, code_module, code_presentation)""",
+}

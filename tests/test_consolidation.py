@@ -69,3 +69,26 @@ def test_snapshot_of_the_final_table(tables):
     snap = features.session_snapshot(c.consolidated(tables, LEVELS), c.SESSION, LEVELS, ["studied_credits"])
     got = {r.id_student: (r.quiz, r.url, r.page, r.studied_credits) for r in snap.collect()}
     assert got == {1: (10, 6, 0, 60.0), 2: (0, 0, 0, 120.0)}
+
+
+def test_sources_from_a_zip(spark, tables, tmp_path):
+    import zipfile
+
+    with zipfile.ZipFile(tmp_path / "star.zip", "w", zipfile.ZIP_DEFLATED) as z:
+        for name, text in CSV.items():
+            z.writestr(f"data/{name}.csv", text)
+    zipped = c.load_sources(spark, str(tmp_path / "star.zip"))
+    for name in CSV:
+        assert zipped[name].dtypes == tables[name].dtypes and records(zipped[name]) == records(tables[name])
+
+
+def test_activities_from_the_site_table(tables):
+    final = c.consolidated(tables, None)
+    assert c.activity_levels(tables["vle"]) == ["quiz", "url"] and {"quiz", "url"} <= set(final.columns)
+
+
+def test_clicks_outside_the_list_are_counted(tables):
+    daily = c.daily_activity(tables["studentVle"], tables["vle"], ["quiz"], "other")
+    assert records(daily.select("date", "quiz", "other")) == [(0, 5, 1), (5, 0, 4), (7, 0, 8)]
+    loss = c.activity_loss(tables["studentVle"], tables["vle"], ["quiz"]).first()
+    assert tuple(loss) == (18, 5, 5, 8, 0)

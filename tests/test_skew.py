@@ -176,3 +176,104 @@ def test_lookup_join_both_ways(spark, hot, limit):
         assert records(got.select(*df.columns, "first")) == want
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_lookup_splits_equal_rows(spark, shuffled_joins):
+    """A third of the rows is one row repeated; it lands in several tasks, also before an aggregate on its key."""
+    rows = spark.range(0, 3000, numPartitions=12).select(
+        F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id") % 400).cast("int").alias("k"), F.lit("same").alias("x")
+    )
+    stats = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    tagged = joins.group_lookup(rows, stats, ["k"])
+    where = F.spark_partition_id()
+    hot = tagged.filter("k = 7").groupBy(where).count().collect()
+    assert len(hot) >= 3 and sum(r["count"] for r in hot) == 1006
+    assert records(tagged.groupBy("k", "n").count()) == records(
+        rows.join(stats, "k").groupBy("k", "n").count()
+    )
+
+
+def test_lookup_keeps_a_plan_without_hot_keys(spark, shuffled_joins):
+    rows = spark.range(0, 3000, numPartitions=4).select((F.col("id") % 1500).alias("k"))
+    stats = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    tagged = joins.group_lookup(rows, stats, ["k"])
+    assert "__salt" not in tagged._jdf.queryExecution().toString() and tagged.count() == 3000
+
+
+@pytest.mark.parametrize("how", ["left", "inner"])
+@pytest.mark.parametrize("parts", [3, 40, 500])
+def test_many_to_many_rows_equal_a_join(spark, hot, how, parts):
+    _, left = hot
+    right = spark.createDataFrame(
+        [(7 if i % 3 == 0 else i % 500, i) for i in range(600)] + [(None, -1)], "k int, mark int"
+    )
+    left = left.unionByName(spark.createDataFrame([(-1, None, 0), (-2, None, 0)], left.schema))
+    got = joins.many_to_many_rows(left, right, ["k"], how, parts)
+    want = left.join(right, "k", how).select(*got.columns)
+    assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+
+
+def test_many_to_many_grid_uses_several_tasks(spark, hot, shuffled_joins):
+    """A third of both sides on one key: 667 x 200 rows, broadcast off."""
+    _, left = hot
+    right = spark.range(0, 600, numPartitions=6).select(
+        F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(1000 + F.col("id")).cast("int").alias("k"), F.col("id").alias("mark")
+    )
+    got = joins.many_to_many_rows(left, right, ["k"], "inner", 16).filter("k = 7")
+    tasks = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+    n = left.filter("k = 7").count()
+    assert sum(tasks) == n * 200 and len(tasks) >= 5 and max(tasks) < n * 200 / 2
+
+
+def test_many_to_many_without_rows(spark, hot):
+    _, left = hot
+    none = spark.createDataFrame([], "k int, mark int")
+    assert joins.many_to_many_rows(left, none, ["k"]).filter("mark is null").count() == 2000
+    assert joins.many_to_many_rows(none, left, ["k"]).count() == 0
+
+
+@pytest.mark.parametrize("text, size", [("10485760b", 10485760), ("10m", 10485760), ("-1", -1), ("1gb", 2**30)])
+def test_broadcast_limit(spark, text, size):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", text)
+    try:
+        assert joins.broadcast_limit(spark) == size
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+EXTREMES = {
+    "powers": lambda rng: np.repeat(1000.0 ** np.arange(-20, 60), 40),
+    "both signs": lambda rng: np.concatenate([-np.exp(rng.normal(0, 30, 3000)), np.exp(rng.normal(0, 30, 3000)), np.zeros(500)]),
+    "neighbours": lambda rng: 1.0 + rng.integers(0, 5000, 6000) * 2.0**-52,
+    "outlier": lambda rng: np.append(rng.random(5000), 1e300),
+    "hot and tail": lambda rng: np.where(rng.random(9000) < 0.34, 3.25, np.exp(rng.normal(0, 9, 9000))),
+}
+
+
+@pytest.mark.parametrize("shape", EXTREMES)
+@pytest.mark.parametrize("bins", [8, 4096])
+def test_refinement_of_extreme_columns(spark, shape, bins):
+    values = EXTREMES[shape](np.random.default_rng(4))
+    df = spark.createDataFrame([(float(x),) for x in values] + [(None,), (float("nan"),)], "x double").repartition(3)
+    probs = [0.001, 0.2, 0.5, 0.9, 0.9999]
+    got = {r.prob: r["quantile"] for r in quantiles.exact_quantiles(df, ["x"], probs, accuracy=bins).collect()}
+    for p in probs:
+        assert got[p] == pytest.approx(np.quantile(values, p), rel=1e-12)
+
+
+def test_refinement_takes_few_scans(spark, monkeypatch):
+    scans = []
+    plain = quantiles._next_scan
+    monkeypatch.setattr(quantiles, "_next_scan", lambda *a: scans.append(1) or plain(*a))
+    df = spark.range(200_000).select((F.rand(3) * 1e6).alias("x"))
+    quantiles.exact_quantiles(df, ["x"], [0.25, 0.5, 0.75], accuracy=512).collect()
+    assert len(scans) <= 3
+
+
+def test_trim_of_nan(spark):
+    df = spark.createDataFrame([(x,) for x in (1.0, 2.0, 3.0, float("nan"), None)], "x double")
+    assert records(quantiles.trim(df, "x", 0.5, "lower")) == [(2.0,), (3.0,)]
+    assert records(quantiles.trim(df, "x", 0.5)) == [(1.0,), (2.0,)]
+    nothing = df.filter("x is null")
+    assert quantiles.trim(nothing, "x", 0.5).count() == 0 and quantiles.band(nothing, "x", 0.1, 0.9).count() == 0

@@ -8,6 +8,7 @@ import zipfile
 import pytest
 from rows import records
 from pyspark import cloudpickle
+from pyspark.sql import functions as F
 
 from sessionloom.functions.columns import chunk_of, hash_fraction, week_number
 from sessionloom.sources import files, scratch
@@ -77,6 +78,68 @@ def test_zipped_csv_members(spark, tmp_path):
     )
 
 
+def test_zipped_csv_members_of_one_archive_spread_over_tasks(spark, tmp_path):
+    with zipfile.ZipFile(tmp_path / "star.zip", "w", zipfile.ZIP_DEFLATED) as z:
+        for part in range(6):
+            z.writestr(f"part-{part}.csv", "id\n" + "\n".join(str(part * 100 + i) for i in range(50)))
+        z.writestr("notes.txt", "no table")
+    index = files.zip_members(spark, str(tmp_path / "star.zip"), "*.csv")
+    assert index.count() == 6 and index.filter("bytes <= 0").count() == 0
+    df = files.read_zipped_csv(spark, str(tmp_path / "star.zip"), "id int", "part-*.csv")
+    tasks = df.withColumn("task", F.spark_partition_id()).groupBy("member").agg(F.min("task"), F.max("task")).collect()
+    assert df.count() == 300 and len({r[1] for r in tasks}) >= 4 and all(r[1] == r[2] for r in tasks)
+
+
+def test_zipped_csv_without_members(spark, tmp_path):
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+        z.writestr("a.txt", "x")
+    assert files.read_zipped_csv(spark, str(tmp_path), "id int", "*.csv").collect() == []
+
+
+def test_a_member_is_read_by_ranges(tmp_path, monkeypatch):
+    """Neither the index nor a member's reader asks for the whole archive."""
+    import pandas as pd
+    import pyarrow.fs as fs
+
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+        z.writestr("big.csv", "id\n" + "1\n" * 2_000_000)
+        z.writestr("small.csv", "id\n7\n")
+    read = []
+    plain = fs.LocalFileSystem.open_input_file
+
+    class Counted:
+        def __init__(self, file):
+            self.file = file
+
+        def __getattr__(self, name):
+            return getattr(self.file, name)
+
+        def __enter__(self):
+            return self
+
+        def __exit__(self, *_):
+            self.file.close()
+
+        def read(self, n=-1):
+            got = self.file.read() if n is None or n < 0 else self.file.read(n)
+            read.append(len(got))
+            return got
+
+    class Opener:
+        def open_input_file(self, path):
+            return Counted(plain(fs.LocalFileSystem(), path))
+
+    class Local:
+        from_uri = staticmethod(lambda uri: (Opener(), uri.removeprefix("file://")))
+
+    monkeypatch.setattr(fs, "FileSystem", Local)
+    uri = f"file://{tmp_path}/a.zip"
+    index = pd.concat(files._zip_members("small.csv")(iter([pd.DataFrame({"path": [uri]})])))
+    lines = pd.concat(files._zip_lines(["id"])(iter([index])))
+    assert list(lines["line"]) == ["7"]
+    assert sum(read) < 200_000
+
+
 def test_zipped_csv_leaves_in_batches(spark, tmp_path):
     with zipfile.ZipFile(tmp_path / "big.zip", "w") as z:
         z.writestr("x.csv", "id\n" + "\n".join(str(i) for i in range(25_000)))
@@ -93,8 +156,8 @@ def test_materialise_uses_the_configured_folder(spark):
 
 def test_zip_task_code_needs_no_package(tmp_path):
     """A worker that cannot import this package can still run the reader."""
-    (tmp_path / "f.pkl").write_bytes(cloudpickle.dumps(files._zip_lines(["id"], "*")))
-    code = "import pickle; assert callable(pickle.load(open('f.pkl', 'rb')))"
+    (tmp_path / "f.pkl").write_bytes(cloudpickle.dumps([files._zip_lines(["id"]), files._zip_members("*")]))
+    code = "import pickle; assert all(map(callable, pickle.load(open('f.pkl', 'rb'))))"
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, check=True)
 
