@@ -21,7 +21,7 @@ import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -241,19 +241,22 @@ def encode_documents(docs: DataFrame, path: str, keep: str = "digest") -> DataFr
     if keep not in ("digest", "tokens"):
         raise ValueError("keep is 'digest' or 'tokens'")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = ["n_tokens", "ids_sha256", "decoded_sha256"] if keep == "digest" else ["n_tokens", "ids", "decoded"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
-        for pdf in batches:
-            out = []
-            for text in pdf["text"]:
-                ids, decoded = enc.encode(text or "")
-                n = ids.count(" ") + 1 if ids else 0
-                out.append((n, _sha(ids), _sha(decoded)) if keep == "digest" else (n, ids, decoded))
-            names = ["n_tokens", "ids_sha256", "decoded_sha256"] if keep == "digest" else ["n_tokens", "ids", "decoded"]
-            frame = pd.DataFrame(out, columns=names, index=pdf.index)
-            frame.insert(0, "doc_id", pdf["doc_id"].astype("Int64"))
-            yield frame
+        for batch in batches:
+            counts, first, second = [], [], []
+            for text in batch.column("text"):
+                ids, decoded = enc.encode(text.as_py())
+                counts.append(ids.count(" ") + 1 if ids else 0)
+                first.append(_sha(ids) if keep == "digest" else ids)
+                second.append(_sha(decoded) if keep == "digest" else decoded)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(first, pa.string()), pa.array(second, pa.string())],
+                names=["doc_id", *names],
+            )
 
     cols = "ids_sha256 string, decoded_sha256 string" if keep == "digest" else "ids string, decoded string"
     slim = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return slim.mapInPandas(run, f"doc_id bigint, n_tokens bigint, {cols}")
+    return slim.mapInArrow(run, f"doc_id bigint, n_tokens bigint, {cols}")

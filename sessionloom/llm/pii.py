@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -150,18 +151,20 @@ def _joined(spans: list[tuple[str, int, int]]) -> str:
 def propose(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, the exact spans, and the other proposed spans with their votes; null texts are empty."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for text in pdf["text"]:
-                base, found = candidates(text or "")
-                rows.append((_joined(base), [f"{k}|{v}|{a}|{b}" for k, a, b, v in found]))
-            out = pd.DataFrame(rows, columns=["base", "found"], index=pdf.index)
-            out.insert(0, "doc_id", pdf["doc_id"].astype("Int64"))
-            yield out
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            exact, proposed = [], []
+            for text in batch.column("text"):
+                base, found = candidates(text.as_py() or "")
+                exact.append(_joined(base))
+                proposed.append([f"{k}|{v}|{a}|{b}" for k, a, b, v in found])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array(exact, pa.string()), pa.array(proposed, pa.list_(pa.string()))],
+                names=["doc_id", "base", "found"],
+            )
 
     slim = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    return slim.mapInPandas(run, "doc_id bigint, base string, found array<string>")
+    return slim.mapInArrow(run, "doc_id bigint, base string, found array<string>")
 
 
 def _em(votes: list[str], count: np.ndarray, rounds: int = 50) -> tuple[np.ndarray, np.ndarray]:
@@ -247,20 +250,24 @@ def personal_data(docs: DataFrame, accept: float = ACCEPT) -> DataFrame:
     proposed = materialise(propose(docs), "proposed")
     taken = learn(proposed, accept)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for base, found in zip(pdf["base"], pdf["found"], strict=True):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts, digests, spans = [], [], []
+            for base, found in zip(batch.column("base").to_pylist(), batch.column("found").to_pylist(), strict=True):
                 kinds = [s.split(":", 1)[0] for s in base.split(",")]
-                rows.append(
-                    (*[kinds.count(k) for k in KINDS], hashlib.sha256(base.encode()).hexdigest(), _joined(_accepted(base, found, taken)))
-                )
-            out = pd.DataFrame(rows, columns=[*[f"n_{k}" for k in KINDS], "base_sha256", "spans"], index=pdf.index)
-            out.insert(0, "doc_id", pdf["doc_id"].astype("Int64"))
-            yield out
+                counts.append([kinds.count(k) for k in KINDS])
+                digests.append(hashlib.sha256(base.encode()).hexdigest())
+                spans.append(_joined(_accepted(base, found, taken)))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("doc_id"), *[pa.array([c[n] for c in counts], pa.int64()) for n in range(len(KINDS))],
+                    pa.array(digests, pa.string()), pa.array(spans, pa.string()),
+                ],
+                names=["doc_id", *[f"n_{k}" for k in KINDS], "base_sha256", "spans"],
+            )
 
     counts = ", ".join(f"n_{k} bigint" for k in KINDS)
-    return proposed.mapInPandas(run, f"doc_id bigint, {counts}, base_sha256 string, spans string")
+    return proposed.mapInArrow(run, f"doc_id bigint, {counts}, base_sha256 string, spans string")
 
 
 def redact(docs: DataFrame, accept: float = ACCEPT) -> DataFrame:

@@ -14,8 +14,9 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import groupby
 
-import pandas as pd
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,6 +26,7 @@ from sessionloom.sources.scratch import materialise, scratch_path
 ARCHIVE_BYTES = 256 << 20  # a task starts a new archive beyond it
 READ_BYTES = 8 << 20  # ranges are joined up to this size
 GAP_BYTES = 64 << 10  # and over holes up to this size
+TASK_BYTES = 8 << 20  # what a reading task is given
 DATE = "2024-01-01T00:00:00Z"  # fixed, so that reruns agree
 INDEX = (
     "page_id bigint, url string, payload_digest string, record_type string, file string, offset bigint, length bigint"
@@ -33,10 +35,21 @@ RECORD = (
     "page_id bigint, url string, record_type string, refers_to bigint, payload_bytes bigint, "
     "payload_digest string, payload string"
 )
+_INPUT = ("page_id", "url", "html", "refers_to")
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 _BREAKS = re.compile(r"[\x00-\x20\x7f]")
 
 
+def _batch(rows: list[tuple], columns: str) -> pa.RecordBatch:
+    """Rows in the types of a column list. Ids stay whole numbers, beside nulls too."""
+    fields = [c.split() for c in columns.split(", ")]
+    kinds = {"bigint": pa.int64(), "string": pa.string()}
+    arrays = zip(*rows, strict=True) if rows else ([] for _ in fields)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(list(a), kinds[kind]) for a, (_, kind) in zip(arrays, fields, strict=True)], names=[n for n, _ in fields]
+    )
+
+
 def open_store(folder: str) -> tuple[fs.FileSystem, str]:
     """File system and path of a folder as Spark names it (file:, hdfs:, s3a:, gs:, abfss: or none)."""
     if ":" not in folder:
@@ -129,35 +142,31 @@ def write_archives(pages: DataFrame, folder: str, least: int = 0) -> DataFrame:
     )
     known = slim.join(again, F.col("page_id").eqNullSafe(F.col("__page")) & (F.col("sha") == F.col("__sha")), "left")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = open_store(folder)
         out, name, at = None, "", 0
         try:
-            for pdf in batches:
+            for batch in batches:
                 rows = []
-                for page, url, html, refers in zip(pdf["page_id"], pdf["url"], pdf["html"], pdf["refers_to"], strict=True):
+                for page, url, html, refers in zip(*(batch.column(c).to_pylist() for c in _INPUT), strict=True):
                     if out is None or at >= ARCHIVE_BYTES:
                         if out is not None:
                             out.close()
                         name, at = f"pages-{uuid.uuid4().hex}.warc.gz", 0
                         store.create_dir(root, recursive=True)
                         out = store.open_output_stream(f"{root}/{name}", compression=None)
-                    page = None if pd.isna(page) else int(page)
-                    refers = None if pd.isna(refers) else int(refers)
                     payload = html.encode()
                     sha = digest(payload)
                     member = _gzip(_record(page, url, payload, sha, refers))
                     out.write(member)
                     rows.append((page, url, sha, "response" if refers is None else "revisit", name, at, len(member)))
                     at += len(member)
-                frame = pd.DataFrame(rows, columns=[c.split()[0] for c in INDEX.split(", ")])
-                frame["page_id"] = frame["page_id"].astype("Int64")
-                yield frame
+                yield _batch(rows, INDEX)
         finally:
             if out is not None:
                 out.close()
 
-    return materialise(known.select("page_id", "url", "html", "refers_to").mapInPandas(run, INDEX), "index")
+    return materialise(known.select(*_INPUT).mapInArrow(run, INDEX), "index")
 
 
 def _ranges(offsets: list[int], lengths: list[int]) -> Iterator[tuple[int, int]]:
@@ -176,17 +185,18 @@ def _ranges(offsets: list[int], lengths: list[int]) -> Iterator[tuple[int, int]]
 def read_records(index: DataFrame, folder: str, payloads: bool = True) -> DataFrame:
     """The records that the rows of an index name: RECORD, without the payload unless ``payloads``.
 
-    Rows are range partitioned by file and offset, so an archive is read by several tasks if it is large, and
-    each task reads its ranges in order.
+    Rows are range partitioned by file and offset in as many tasks as the bytes to be read warrant (the index
+    itself is tiny), so a large archive is read by several tasks, and each task reads its ranges in order.
     """
     columns = RECORD if payloads else RECORD.rsplit(", ", 1)[0]
     width = columns.count(",") + 1
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = open_store(folder)
-        for pdf in batches:
-            for name, part in pdf.groupby("file", sort=False):
-                offsets, lengths = part["offset"].tolist(), part["length"].tolist()
+        for batch in batches:
+            rows_of = zip(*(batch.column(c).to_pylist() for c in ("file", "offset", "length")), strict=True)
+            for name, part in groupby(rows_of, lambda r: r[0]):
+                _, offsets, lengths = map(list, zip(*part, strict=True))
                 with store.open_input_file(f"{root}/{name}") as archive:
                     for a, b in _ranges(offsets, lengths):
                         data = archive.read_at(offsets[b - 1] + lengths[b - 1] - offsets[a], offsets[a])
@@ -194,13 +204,13 @@ def read_records(index: DataFrame, folder: str, payloads: bool = True) -> DataFr
                             parse(data[offsets[n] - offsets[a] : offsets[n] - offsets[a] + lengths[n]])[:width]
                             for n in range(a, b)
                         ]
-                        frame = pd.DataFrame(rows, columns=[c.split()[0] for c in columns.split(", ")])
-                        for c in ("page_id", "refers_to"):
-                            frame[c] = frame[c].astype("Int64")
-                        yield frame
+                        yield _batch(rows, columns)
 
-    places = index.select("file", "offset", "length").repartitionByRange("file", "offset").sortWithinPartitions("file", "offset")
-    return places.mapInPandas(run, columns)
+    places = index.select("file", "offset", "length")
+    size = index.agg(F.sum("length")).first()[0] or 0
+    tasks = max(1, -(-size // TASK_BYTES))
+    ordered = places.repartitionByRange(tasks, "file", "offset").sortWithinPartitions("file", "offset")
+    return ordered.mapInArrow(run, columns)
 
 
 def round_trip(pages: DataFrame, folder: str | None = None, least: int = 0) -> DataFrame:
