@@ -226,6 +226,66 @@ def test_passages_behind_an_earlier_document_that_shares_less(spark):
     assert sum(y - x >= 60 for x, y in spans[len(docs) - 2]) == 2  # both places of the first document
 
 
+EDITS = [(60, 1), (95, 1), (100, 2), (200, 4), (300, 6), (60, 0)]
+
+
+def test_alike_passages_with_spread_edits_are_found(spark):
+    """Passages with single words changed at even distances, all of likeness 0.8 or more: 360 pairs, recall 0.9."""
+    rng = random.Random(21)
+    own = lambda n: [f"o{rng.random()}" for _ in range(n)]
+    docs, want = [], defaultdict(list)
+    for words, changes in EDITS:
+        for _ in range(60):
+            passage = own(words)
+            edited = list(passage)
+            for n in range(changes):
+                edited[(n * 2 + 1) * words // (2 * changes)] = own(1)[0]
+            five = [Counter(tuple(p[j : j + 5]) for j in range(words - 4)) for p in (passage, edited)]
+            both = sum((five[0] & five[1]).values())
+            assert both / (2 * (words - 4) - both) >= 0.8
+            for p in (passage, edited):
+                before = rng.randint(10, 90)
+                docs.append((len(docs), " ".join(own(before) + p + own(rng.randint(10, 90)))))
+                want[words, changes].append((len(docs) - 1, before, before + words))
+    rows = passages.repeated_passages(spark.createDataFrame(docs, "doc_id bigint, text string").repartition(5)).collect()
+    spans = {r.doc_id: (r.first_word, r.end_word) for r in rows}
+    for kind, places in want.items():
+        found = sum(min(b, spans.get(i, (0, 0))[1]) - max(a, spans.get(i, (0, 0))[0]) >= 0.8 * (b - a) for i, a, b in places)
+        assert found >= 0.9 * len(places), (kind, found, len(places))
+    assert all(r.class_id == r.doc_id - r.doc_id % 2 for r in rows)
+
+
+def test_words_put_in_or_left_out(spark):
+    """One word more or less in the middle: halves of 35 words only count together, halves of 55 may come apart."""
+    rng = random.Random(22)
+    own = lambda n: [f"o{rng.random()}" for _ in range(n)]
+    docs = []
+    for n in range(120):
+        half = 35 if n % 2 else 55
+        passage = own(2 * half)
+        edited = passage[:half] + (own(1) if n % 4 < 2 else []) + passage[half + (n % 4 >= 2) :]
+        docs += [(2 * n + k, half, " ".join(own(40) + p + own(40))) for k, p in enumerate((passage, edited))]
+    df = spark.createDataFrame(docs, "doc_id bigint, half int, text string")
+    covered = Counter()
+    for r in passages.repeated_passages(df).collect():
+        covered[r.doc_id] += min(r.end_word, 40 + 2 * docs[r.doc_id][1]) - max(r.first_word, 40)
+    for half in (35, 55):
+        mine = [i for i, h, _ in docs if h == half]
+        assert sum(covered[i] >= 0.8 * 2 * half for i in mine) >= 0.9 * len(mine), half
+
+
+@pytest.mark.parametrize("pattern, width, want", [
+    ("s" * 25 + "x" * 5 + "s" * 26, 46, [(0, 56)]),
+    ("x" * 30 + "s" * 50 + "x" * 30, 46, [(30, 80)]),
+    ("s" * 60 + "x" * 60 + "s" * 60, 46, [(0, 60), (120, 180)]),
+    ("s" * 40 + "x" * 40, 46, []),
+    ("", 46, []),
+])
+def test_segments_join_runs_while_the_union_is_alike(pattern, width, want):
+    same = np.array([c == "s" for c in pattern], bool)
+    assert sorted(passages._segments(same, width, 8 / 9)) == want
+
+
 @pytest.mark.parametrize("cell, block", [(10_000, 10_000), (40, 16)])
 def test_embedding_links_equal_brute_force(spark, cell, block):
     rng = np.random.default_rng(6)
