@@ -21,6 +21,7 @@ import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -232,31 +233,41 @@ def _sha(text: str) -> str:
     return hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()
 
 
+_KEEP = {
+    "digest": "ids_sha256 string, decoded_sha256 string",
+    "ids": "ids array<int>, ids_sha256 string, decoded_sha256 string",
+    "tokens": "ids string, decoded string",
+}
+
+
 def encode_documents(docs: DataFrame, path: str, keep: str = "digest") -> DataFrame:
-    """Per document: doc_id, n_tokens, and the ids and decoded text (``keep="tokens"``) or their SHA-256.
+    """Per document: doc_id, n_tokens, and what ``keep`` names: the SHA-256 of the joined ids and of the decoded
+    text (``digest``), these and the ids (``ids``), or ids and decoded text as strings (``tokens``).
 
     The whole text is encoded; a null text counts as empty and gives no tokens. Repeated rows give
     repeated rows; other columns are dropped. ``path`` is a vocabulary file every executor can read.
     """
-    if keep not in ("digest", "tokens"):
-        raise ValueError("keep is 'digest' or 'tokens'")
-
-    names = ["n_tokens", "ids_sha256", "decoded_sha256"] if keep == "digest" else ["n_tokens", "ids", "decoded"]
+    if keep not in _KEEP:
+        raise ValueError(f"keep is one of {', '.join(_KEEP)}")
+    names = [c.split(" ")[0] for c in _KEEP[keep].split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         for batch in batches:
-            counts, first, second = [], [], []
+            counts, out = [], {name: [] for name in names}
             for text in batch.column("text"):
                 ids, decoded = enc.encode(text.as_py())
                 counts.append(ids.count(" ") + 1 if ids else 0)
-                first.append(_sha(ids) if keep == "digest" else ids)
-                second.append(_sha(decoded) if keep == "digest" else decoded)
+                found = (ids, decoded) if keep == "tokens" else (_sha(ids), _sha(decoded))
+                if keep == "ids":
+                    found = (np.array(ids.split(), np.int32), *found)
+                for name, value in zip(names, found, strict=True):
+                    out[name].append(value)
+            kinds = [pa.list_(pa.int32()) if keep == "ids" and name == "ids" else pa.string() for name in names]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(first, pa.string()), pa.array(second, pa.string())],
-                names=["doc_id", *names],
+                [batch.column("doc_id"), pa.array(counts, pa.int64()), *[pa.array(out[n], k) for n, k in zip(names, kinds, strict=True)]],
+                names=["doc_id", "n_tokens", *names],
             )
 
-    cols = "ids_sha256 string, decoded_sha256 string" if keep == "digest" else "ids string, decoded string"
     slim = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return slim.mapInArrow(run, f"doc_id bigint, n_tokens bigint, {cols}")
+    return slim.mapInArrow(run, f"doc_id bigint, n_tokens bigint, {_KEEP[keep]}")

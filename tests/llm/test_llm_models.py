@@ -206,3 +206,34 @@ def test_pipeline_on_odd_rows(spark, tmp_path):
     no_documents(spark).write.mode("overwrite").parquet(f"{tmp_path}/none/documents.parquet")
     spark.createDataFrame([], "doc_id bigint, toxic int").write.parquet(f"{tmp_path}/none/labels.parquet")
     assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_pipeline_carries_clashing_columns(spark, tmp_path):
+    edge_documents(spark).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 0)], "doc_id bigint, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = table(spark, str(tmp_path), "documents")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = spark.createDataFrame(stage(spark, docs, str(tmp_path)).collect(), docs.schema)
+    assert {(r.score, r.kept, r.id) for r in docs.collect()} == {(0.5, "clash", 7)}
+    assert corpus_pipeline.run(spark, str(tmp_path)).columns == ["doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256"]
+
+
+def test_copies_are_told_by_row_not_by_id(spark, sf_dir):
+    words = lambda tag, n=60: " ".join(f"{tag}{i}" for i in range(n))
+    near = words("a").replace("a59", "changed")
+    rows = [
+        (1, words("a")), (1, words("b")), (2, words("a")), (3, words("b")), (3, words("b")), (4, near), (5, words("c")),
+        (None, words("a")), (None, words("d")), (6, None), (6, ""), (2**60 + 1, words("e")), (2**60 + 3, words("e")),
+    ]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars int")
+    got = sorted(((r.doc_id, r.text) for r in corpus_pipeline.drop_copies(spark, docs, sf_dir).collect()), key=str)
+    want = [(1, words("a")), (1, words("b")), (5, words("c")), (None, words("d")), (6, None), (6, ""), (2**60 + 1, words("e"))]
+    assert got == sorted(want, key=str)
+
+
+def test_pipeline_emits_the_token_ids(spark, sf_dir):
+    import hashlib
+
+    docs = table(spark, sf_dir, "documents")
+    for r in corpus_pipeline.encode(spark, docs, sf_dir).limit(50).collect():
+        assert len(r.ids) == r.n_tokens and r.ids_sha256 == hashlib.sha256(" ".join(map(str, r.ids)).encode()).hexdigest()
