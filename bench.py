@@ -1,9 +1,9 @@
 """Time the headline queries. Prints one JSON line.
 
-BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS (default 8), BENCH_QUERIES (comma list),
-BENCH_WARM (default 1). Each query is built, planned and run to the end into the ``noop`` sink; jobs
-it starts while being built count too. With BENCH_WARM=1 it runs once untimed on the sf0.001 tables
-next to the measured ones, so the figure is not JVM class loading.
+BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS (default 8), BENCH_QUERIES (comma list, or ``all``
+for every query of the library outside ``llm``), BENCH_WARM (default 1). Each query is built, planned and
+run to the end into the ``noop`` sink; jobs it starts while being built count too. With BENCH_WARM=1 it
+runs once untimed on the sf0.001 tables next to the measured ones, so the figure is not JVM class loading.
 """
 
 from __future__ import annotations
@@ -33,7 +33,8 @@ def run(spark, name: str, sf_dir: str) -> None:
 
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
-    names = [n for n in os.environ.get("BENCH_QUERIES", "").split(",") if n] or HEADLINE
+    wanted = os.environ.get("BENCH_QUERIES", "")
+    names = sorted(QUERIES) if wanted == "all" else [n for n in wanted.split(",") if n] or HEADLINE
     spark = local_session(os.environ.get("BENCH_CPUS", "8"), "bench")
     spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy("l_returnflag").count().collect()  # start-up
     small = os.path.join(os.path.dirname(sf_dir.rstrip("/")), "sf0.001")

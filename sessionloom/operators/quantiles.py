@@ -90,21 +90,21 @@ def _next_scan(df: DataFrame, cols: Sequence[str], todo: dict[int, list[tuple]],
 
     ``todo`` has ``(lo, hi, before, inside, ranks)`` per column number.
     """
-    hits, wanted = [], F.lit(None).cast("array<bigint>")
+    number_of = lambda v: f"double('{v!r}')"
+    hits, wanted = [], []
     for f, brackets in todo.items():
-        x = number(cols[f])
-        hit = F.lit(None)
+        cases = []
         for lo, hi, before, inside, ranks in brackets:
-            slot = _slot(x, F.lit(lo), F.lit(hi), F.lit(inside), bins)
-            row = F.struct(
-                F.lit(f).alias("__feature"), F.lit(before).cast("bigint").alias("__base"), slot.alias("__slot"), x.alias("__x")
-            )
-            hit = F.when((x >= lo) & (x <= hi), row).otherwise(hit)
-            mine = (F.col("__feature") == f) & (F.col("__base") == before)
-            wanted = F.when(mine, F.array(*map(F.lit, ranks)).cast("array<bigint>")).otherwise(wanted)
-        hits.append(hit)
-    hit = df.select(F.inline(F.array(*hits))).filter(F.col("__feature").isNotNull())
-    counts = _counted(hit, ["__feature"]).withColumn("__ranks", wanted)
+            low, high = number_of(lo), number_of(hi)
+            even = f"cast(least(floor((x{f} - {low}) / ({high} - {low}) * {bins}), {bins - 1}) as double)"
+            slot = f"x{f}" if inside <= FEW * bins else even
+            row = f"named_struct('__feature', {f}, '__base', {before}L, '__slot', {slot}, '__x', x{f})"
+            cases.append(f"when x{f} >= {low} and x{f} <= {high} then {row}")
+            wanted.append(f"when __feature = {f} and __base = {before}L then array({', '.join(f'{r}L' for r in ranks)})")
+        hits.append(f"case {' '.join(cases)} end")
+    numbers = df.select(*[number(cols[f]).alias(f"x{f}") for f in todo])
+    hit = numbers.select(F.expr(f"inline(array({', '.join(hits)}))")).filter(F.col("__feature").isNotNull())
+    counts = _counted(hit, ["__feature"]).withColumn("__ranks", F.expr(f"case {' '.join(wanted)} end"))
     return _located(counts, ["__feature", "__base"])
 
 
