@@ -28,10 +28,13 @@ def uniform(x: np.ndarray) -> np.ndarray:
     return ((x >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
 
 
-def slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBatch]:
-    """Cut a batch into runs of whole texts of about SLICE_BYTES."""
-    sizes = pc.binary_length(batch.column(batch.schema.get_field_index(column))).fill_null(0)
-    group = np.cumsum(sizes.to_numpy(zero_copy_only=False).astype(np.int64)) // SLICE_BYTES
+def slices(batch: pa.RecordBatch, *columns: str) -> Iterator[pa.RecordBatch]:
+    """Cut a batch into runs of whole texts (of the column ``text``, or the named ones) of about SLICE_BYTES."""
+    sizes = sum(
+        pc.binary_length(batch.column(batch.schema.get_field_index(c))).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        for c in columns or ("text",)
+    )
+    group = np.cumsum(sizes) // SLICE_BYTES
     for g in np.unique(group):
         rows = np.flatnonzero(group == g)
         yield batch.slice(rows[0], len(rows))
