@@ -204,7 +204,8 @@ def exact_quantiles(
         low = F.floor((F.col("__n") - 1) * p)
         a, b = F.element_at("__at", low), F.element_at("__at", F.least(low + 1, F.col("__n") - 1))
         t, high, below = _interpolated(F.col("__n"), a, b, low, p)
-        rows.append(F.struct(F.lit(p).alias("prob"), F.when(t >= 0.5, high).otherwise(below).alias("quantile")))
+        value = F.when(t == 0, a).when(t >= 0.5, high).otherwise(below)  # the next value may be infinite
+        rows.append(F.struct(F.lit(p).alias("prob"), value.alias("quantile")))
     return values.select(*by, F.get(names, "__feature").alias("feature"), F.inline(F.array(*rows)))
 
 
@@ -213,7 +214,7 @@ def _picked(r: Row, values: dict[int, float], probs: Sequence[float]) -> list[tu
     for p in probs:
         low = int((n - 1) * p)
         t, high, below = _interpolated(n, values[low], values[min(low + 1, n - 1)], low, p)
-        out.append((p, high if t >= 0.5 else below))
+        out.append((p, values[low] if t == 0 else high if t >= 0.5 else below))
     return out
 
 

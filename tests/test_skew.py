@@ -277,3 +277,12 @@ def test_trim_of_nan(spark):
     assert records(quantiles.trim(df, "x", 0.5)) == [(1.0,), (2.0,)]
     nothing = df.filter("x is null")
     assert quantiles.trim(nothing, "x", 0.5).count() == 0 and quantiles.band(nothing, "x", 0.1, 0.9).count() == 0
+
+
+def test_quantiles_beside_infinite_values(spark):
+    inf = float("inf")
+    df = spark.createDataFrame([("a", x) for x in (1.0, inf, -inf, 2.0, 1.0)], "g string, x double")
+    whole = quantiles.exact_quantiles(df, ["x"], [0.0, 0.25, 0.75, 1.0])
+    grouped = quantiles.exact_quantiles(df, ["x"], [0.0, 0.25, 0.75, 1.0], ["g"])
+    for got in (whole, grouped):
+        assert [r["quantile"] for r in got.orderBy("prob").collect()] == [-inf, 1.0, 2.0, inf]
