@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
@@ -91,6 +93,9 @@ def forest(label: str, trees: int = 100, max_depth: int = 10, seed: int = 7) ->
     return Pipeline(stages=[_scaler(), model])
 
 
+PARALLEL = 3  # fits at a time in a cross-validation
+TASK_ROWS = 10_000  # training rows a task; a solver passes over them hundreds of times
+
 Maker = Callable[[str, int], Pipeline]
 MAKERS: Mapping[str, Maker] = {
     "logistic": logistic,
@@ -115,6 +120,12 @@ def _score(train: DataFrame, test: DataFrame, label: str, model: str, made: Mapp
     return accuracy(scored, label).select(F.lit(model).alias("model"), "n_test", "accuracy")
 
 
+def _spread(df: DataFrame, key: str) -> DataFrame:
+    """Rows dealt to tasks by their number: vectors are small on disk, and a file would be a single task's."""
+    tasks = -(-df.count() // TASK_ROWS)
+    return df.repartition(tasks, key).sortWithinPartitions(key) if tasks > 1 else df
+
+
 def holdout_scores(
     df: DataFrame, key: str, label: str, models: Sequence[str], test_share: float = 0.2, made: Mapping[str, Maker] = MAKERS
 ) -> DataFrame:
@@ -124,7 +135,7 @@ def holdout_scores(
     over it many times, and a lost executor re-reads its part instead of replaying the plan. ``made``
     maps each model's name to its maker.
     """
-    data = materialise(df.select(key, label, "features"), "features")
+    data = materialise(_spread(df.select(key, label, "features"), key), "features")
     scores = []
     for seed, model in enumerate(models):
         split = holdout(data, key, test_share, seed)
@@ -135,15 +146,20 @@ def holdout_scores(
 def cross_validated_scores(
     df: DataFrame, key: str, label: str, models: Sequence[str], folds: int = 5, made: Mapping[str, Maker] = MAKERS
 ) -> DataFrame:
-    """Accuracy per (model, fold) over unshuffled stratified folds."""
-    data = materialise(stratified_folds(df.select(key, label, "features"), label, key, folds), "folds")
-    scores = [
-        _score(data.filter(F.col("fold") != fold), data.filter(F.col("fold") == fold), label, model, made).withColumn(
-            "fold", F.lit(fold)
-        )
-        for model in models
-        for fold in range(folds)
-    ]
+    """Accuracy per (model, fold) over unshuffled stratified folds.
+
+    The fits do not depend on each other: PARALLEL of them run at a time, as a fit alone leaves cores idle
+    between its many short jobs.
+    """
+    data = materialise(_spread(stratified_folds(df.select(key, label, "features"), label, key, folds), key), "folds")
+
+    def score(model: str, fold: int) -> DataFrame:
+        train, test = data.filter(F.col("fold") != fold), data.filter(F.col("fold") == fold)
+        return _score(train, test, label, model, made).withColumn("fold", F.lit(fold))
+
+    with ThreadPool(PARALLEL) as pool:
+        todo = [(model, fold) for model in models for fold in range(folds)]
+        scores = pool.starmap(inheritable_thread_target(data.sparkSession)(score), todo, chunksize=1)
     return reduce(DataFrame.unionByName, scores)
 
 
@@ -152,7 +168,7 @@ def against_majority(
 ) -> DataFrame:
     """One row ``(n_test, majority_accuracy, accuracy, beats_majority)``: a model and the majority class on the
     same draw (seed 0), so that the difference is the model's."""
-    data = holdout(materialise(df.select(key, label, "features"), "features"), key, test_share, 0)
+    data = holdout(materialise(_spread(df.select(key, label, "features"), key), "features"), key, test_share, 0)
     train, test = data.filter(~F.col("is_test")), data.filter("is_test")
     both = [_score(train, test, label, m, made) for m in ("majority", model)]
     return _compared(reduce(DataFrame.unionByName, both))
