@@ -226,6 +226,36 @@ def test_passages_behind_an_earlier_document_that_shares_less(spark):
     assert sum(y - x >= 60 for x, y in spans[len(docs) - 2]) == 2  # both places of the first document
 
 
+def test_alike_passages_around_a_phrase_of_many_documents_are_all_found(spark):
+    """30 words stand in 40 earlier documents; 60 pairs share them and 30 more, with one word changed: no pair is lost."""
+    rng = random.Random(12)
+    own = lambda n: [f"o{rng.random()}" for _ in range(n)]
+    common = [f"c{n}" for n in range(30)]
+    docs = [own(rng.randint(10, 60)) + common + own(60) for _ in range(40)]
+    for n in range(60):
+        more = own(30)
+        edited = list(more)
+        edited[15] = own(1)[0]
+        docs += [own(rng.randint(10, 60)) + (common + x if n % 2 else x + common) + own(40) for x in (more, edited)]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(docs)], "doc_id bigint, text string")
+    got = {r.doc_id: r.class_id for r in passages.repeated_passages(df).collect()}
+    assert got == {i: i - i % 2 for i in range(40, len(docs))}
+
+
+def test_phrases_of_alike_texts_meet(spark):
+    assert passages._run(50, 0.8, 5) == 19
+    rng = random.Random(13)
+    pairs = []
+    for n in range(200):
+        shared = [f"s{n}x{k}" for k in range(23)]  # 19 shingles
+        pairs += [(2 * n + k, " ".join([f"o{rng.random()}" for _ in range(rng.randint(0, 50))] + shared + [f"o{rng.random()}" for _ in range(40)])) for k in (0, 1)]
+    rows = passages.phrases(spark.createDataFrame(pairs, "id bigint, text string")).collect()
+    keys = defaultdict(set)
+    for r in rows:
+        keys[r.id].add(r.key)
+    assert all(keys[2 * n] & keys[2 * n + 1] for n in range(200))
+
+
 EDITS = [(60, 1), (95, 1), (100, 2), (200, 4), (300, 6), (60, 0)]
 
 
