@@ -237,3 +237,16 @@ def test_pipeline_emits_the_token_ids(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     for r in corpus_pipeline.encode(spark, docs, sf_dir).limit(50).collect():
         assert len(r.ids) == r.n_tokens and r.ids_sha256 == hashlib.sha256(" ".join(map(str, r.ids)).encode()).hexdigest()
+
+
+def test_pipeline_stages_get_small_batches_and_the_setting_comes_back(spark, tmp_path, monkeypatch):
+    spark.range(3000).selectExpr("id AS doc_id", "'a b' AS text").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+
+    def sizes(session, docs, folder):
+        return docs.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"rows": [b.num_rows]}) for b in batches), "rows bigint")
+
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("sizes", sizes)])
+    got = [r.rows for r in corpus_pipeline.run(spark, str(tmp_path)).collect()]
+    assert sum(got) == 3000 and max(got) <= 1000
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
