@@ -242,6 +242,18 @@ def test_alike_passages_around_a_phrase_of_many_documents_are_all_found(spark):
     assert got == {i: i - i % 2 for i in range(40, len(docs))}
 
 
+def test_no_short_passage_with_a_word_put_in_is_lost(spark):
+    rng = random.Random(14)
+    own = lambda n: [f"o{rng.random()}" for _ in range(n)]
+    docs = []
+    for _ in range(100):
+        passage = own(56)
+        docs += [own(30) + p + own(30) for p in (passage, passage[:28] + own(1) + passage[28:])]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(docs)], "doc_id bigint, text string")
+    got = {r.doc_id: r.class_id for r in passages.repeated_passages(df).collect()}
+    assert got == {i: i - i % 2 for i in range(len(docs))}
+
+
 def test_phrases_of_alike_texts_meet(spark):
     assert passages._run(50, 0.8, 5) == 19
     rng = random.Random(13)
