@@ -242,6 +242,32 @@ def test_alike_passages_around_a_phrase_of_many_documents_are_all_found(spark):
     assert got == {i: i - i % 2 for i in range(40, len(docs))}
 
 
+def test_a_word_said_over_and_over_is_no_diagonal_a_place(spark, monkeypatch):
+    """One document says a word 600 times, others 38 times and nothing else alike: their meetings stay runs."""
+    rng = random.Random(15)
+    own = lambda n: [f"o{rng.random()}" for _ in range(n)]
+    docs = [own(50) + ["over"] * n + own(50) for n in (38, 38, 38, 600, 700)]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(docs)], "doc_id bigint, text string")
+    kept, write = [], passages.materialise
+    monkeypatch.setattr(passages, "materialise", lambda d, label="stage": kept.append((label, write(d, label))) or kept[-1][1])
+    got = sorted((r.doc_id, r.first_word, r.end_word, r.class_id) for r in passages.repeated_passages(df).collect())
+    assert [r[0] for r in got] == [3, 4] and all(r[3] == 3 and r[1] >= 43 and r[2] - r[1] >= 600 for r in got)
+    rest = [d for label, d in kept if label == "pairs"][-1]
+    assert 0 < sum(len(r.parts) for r in rest.collect()) < 1500
+
+
+@pytest.mark.parametrize("run, want", [
+    ((7, 1, 3, 9), [(7, 3, 9)]),
+    ((7, 3, 3, 9), [(7, 3, 9), (8, 4, 10), (9, 5, 11)]),
+    ((7, -3, 3, 9), [(5, 3, 9), (6, 3, 9), (7, 3, 9)]),
+])
+def test_runs_are_laid_out_as_diagonals(run, want):
+    again = [np.array([x, x], np.int64) for x in run]
+    again[2][1] += 1
+    again[3][1] += 1
+    assert passages._diagonals(*again) == [(d, lo, hi + 1) for d, lo, hi in want]
+
+
 def test_no_short_passage_with_a_word_put_in_is_lost(spark):
     rng = random.Random(14)
     own = lambda n: [f"o{rng.random()}" for _ in range(n)]
