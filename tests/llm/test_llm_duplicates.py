@@ -413,3 +413,58 @@ def test_warc_reads_a_selection_by_ranges(spark, tmp_path):
     assert {r.page_id: r.payload for r in rows} == {n: html[n] for n in (2, 9, 10)}
     assert all(r.record_type == "response" for r in rows)  # short payloads are never revisits
     assert list(warc._ranges([0, 10, 20, 10**6, 10**6 + 5], [10, 10, 10, 5, 5])) == [(0, 3), (3, 5)]
+
+
+def test_members_left_over_are_not_compared_each_with_each(spark, monkeypatch):
+    """Copies of a text with words changed at random places: what lies in no passage meets few others, not all."""
+    rng = random.Random(31)
+    own = lambda n: [f"o{rng.random()}" for _ in range(n)]
+    text = own(300)
+    docs = [[w if rng.random() > 0.06 else own(1)[0] for w in text] for _ in range(80)]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(docs)], "doc_id bigint, text string")
+    kept, write = [], passages.materialise
+    monkeypatch.setattr(passages, "materialise", lambda d, label="stage": kept.append((label, write(d, label))) or kept[-1][1])
+    spans = defaultdict(list)
+    for r in passages.repeated_passages(df).collect():
+        assert r.class_id == 0
+        spans[r.doc_id].append((r.first_word, r.end_word))
+    assert len(spans) == 80
+    rest = [d for label, d in kept if label in ("pairs", "left")][-1]
+    assert rest.count() < 80 * 79 / 2 / 8
+    shared = [{tuple(w[n : n + 50]): n for n in range(251)} for w in docs]  # 50 words that two have in common are found in both
+    for i in range(80):
+        for j in range(i):
+            for n in (shared[i][p] for p in shared[i].keys() & shared[j].keys()):
+                assert all(any(a <= n and n + 50 <= b for a, b in spans[k]) for k in (i, j))
+
+
+def test_places_at_even_distances_are_one():
+    text, key = np.array([0] * 9 + [1] * 3), np.array([5] * 7 + [6] * 2 + [5] * 3)
+    c = np.array([1, 2, 3, 9, 30, 32, 34, 1, 2, 40, 44, 48])
+    order, new, size, step = passages._chains(text, key, c, 10)
+    got = [(int(text[order][n]), int(key[order][n]), int(c[order][n]), int(k), int(s)) for n, k, s in zip(new, size, step, strict=True)]
+    assert got == [(0, 5, 1, 3, 1), (0, 5, 9, 1, 1), (0, 5, 30, 3, 2), (0, 6, 1, 2, 1), (1, 5, 40, 3, 4)]
+
+
+def test_a_word_order_said_over_and_over_is_found(spark):
+    """Two words by turns, 60 and 90 of them in other surroundings: places at even distances stand for all of them."""
+    rng = random.Random(32)
+    own = lambda n: [f"o{rng.random()}" for _ in range(n)]
+    docs = [own(40) + ["to", "fro"] * n + own(40) for n in (30, 45, 20)]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(docs)], "doc_id bigint, text string")
+    got = {r.doc_id: (r.first_word, r.end_word) for r in passages.repeated_passages(df).collect()}
+    assert got.keys() == {0, 1} and all(b - a >= 60 for a, b in got.values())
+
+
+def test_no_place_of_an_alike_stretch_is_left_out():
+    same = np.array([1] * 18 + [0] * 5 + [1] * 25 + [0] * 5 + [1] * 25, bool)
+    assert passages._spread(same, 46, 8 / 9) == [(0, 78)]
+    assert passages._spread(np.zeros(60, bool), 46, 8 / 9) == passages._spread(same[:40], 46, 8 / 9) == []
+    rng = np.random.default_rng(2)
+    for n in range(300):
+        same = rng.random(rng.integers(1, 60)) < rng.choice([0.5, 0.8, 0.95])
+        some = np.zeros(len(same), bool)
+        for s, e in passages._spread(same, 9, 0.75):
+            some[s:e] = True
+        for s, e in passages._segments(same, 9, 0.75):
+            assert some[s:e].all(), n
