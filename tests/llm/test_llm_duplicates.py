@@ -454,3 +454,18 @@ def test_a_word_order_said_over_and_over_is_found(spark):
     df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(docs)], "doc_id bigint, text string")
     got = {r.doc_id: (r.first_word, r.end_word) for r in passages.repeated_passages(df).collect()}
     assert got.keys() == {0, 1} and all(b - a >= 60 for a, b in got.values())
+
+
+def test_members_dealt_to_cells_all_meet(spark, monkeypatch):
+    """30 words stand in 30 documents; 12 pairs of later ones share 30 more, with a word changed, and meet in some cell."""
+    monkeypatch.setattr(passages, "CELL", 2)
+    rng = random.Random(33)
+    own = lambda n: [f"o{rng.random()}" for _ in range(n)]
+    common = [f"c{n}" for n in range(30)]
+    docs = [own(30) + common + own(60) for _ in range(30)]
+    for _ in range(12):
+        more = own(30)
+        docs += [own(20) + common + x + own(40) for x in (more, more[:15] + own(1) + more[16:])]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(docs)], "doc_id bigint, text string")
+    got = {r.doc_id: r.class_id for r in passages.repeated_passages(df).collect()}
+    assert got == {i: i - i % 2 for i in range(30, len(docs))}
